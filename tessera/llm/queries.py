@@ -1,4 +1,4 @@
-"""The registered queries of the ten training-data operators and the pipeline.
+"""The registered queries of the ten training-data operators.
 
 Each takes ``(spark, sf_dir)``, applies its operator with production parameters
 to its whole table and returns the full result. Their SQL is in ``ORACLES``.
@@ -10,17 +10,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe
+from tessera.llm import bpe, quality, repair, warc
 from tessera.llm.common import documents
 
 
+def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, read back from Re-Pair shards."""
+    return repair.round_trip(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and digests of every whole text."""
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the line-first verdict of every document."""
+    return quality.clean_lines(documents(spark, sf_dir), with_text=False)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every page, read back from seekable bundles."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_repair": op4_repair,
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
 }
 
 ORACLES: dict[str, str] = {}

@@ -81,8 +81,14 @@ def proven_equal(json_path: str, ranks_path: str) -> bool:
     return plain and pre["type"] == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
 
+#: Characters up to which a text is encoded at once.
+AT_ONCE = 200_000
+
+
 def text_ids(text: str, path: str) -> np.ndarray:
     """Ids of a whole text as unsigned 32-bit integers; exact for any length."""
+    if len(text) <= AT_ONCE:
+        return np.array(encoding(path).encode_ordinary(text), np.uint32)
     from tessera.llm.bpe import encode_tree
 
     return encode_tree(text, path)
