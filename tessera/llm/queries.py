@@ -10,10 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, quality, repair, warc
+from tessera.llm import bpe, pii, quality, repair, warc
 from tessera.llm.common import documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every document."""
+    return pii.digests(documents(spark, sf_dir))
+
+
 def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, read back from Re-Pair shards."""
     return repair.round_trip(documents(spark, sf_dir))
@@ -35,6 +40,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_repair": op4_repair,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
