@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, pii, quality, repair, warc
+from tessera.llm import bpe, langid, pii, quality, repair, warc
 from tessera.llm.common import documents
 
 
@@ -39,12 +39,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that aren't held out."""
+    docs = documents(spark, sf_dir)
+    model = langid.learn(docs)
+    return langid.label(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op4_repair": op4_repair,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
+    "op8_langid": op8_langid,
 }
 
 ORACLES: dict[str, str] = {}
