@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, langid, pii, quality, repair, substring, warc
+from tessera.llm import bpe, langid, neardup, pii, quality, repair, substring, warc
 from tessera.llm.common import documents
 
 
@@ -46,6 +46,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under two-word shingles and 80 percent."""
+    return neardup.digests(documents(spark, sf_dir))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated strings of 200 bytes."""
     return substring.remove(documents(spark, sf_dir).select("doc_id", "text"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_langid": op8_langid,
+    "op9_neardup": op9_neardup,
     "op10_substring": op10_substring,
 }
 
