@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, langid, neardup, pii, quality, repair, substring, warc
+from tessera.llm import bpe, langid, neardup, packing, pii, quality, repair, substring, warc
 from tessera.llm.common import documents
 
 
@@ -19,6 +19,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(documents(spark, sf_dir))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 2048 tokens."""
+    return packing.pack(documents(spark, sf_dir)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, read back from Re-Pair shards."""
     return repair.round_trip(documents(spark, sf_dir))
@@ -58,6 +63,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_packing": op2_packing,
     "op4_repair": op4_repair,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
