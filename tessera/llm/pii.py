@@ -109,74 +109,92 @@ def _terms(part: Column) -> Column:
     return F.regexp_extract_all(F.lower(part), F.lit(_TERM), F.lit(0))
 
 
-def disclosing_terms(df: DataFrame, rules: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _terms_of(sql: str) -> str:
+    return f'regexp_extract_all(lower({sql}), r"{_TERM}", 0)'
+
+
+def scanned(df: DataFrame, rules: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc, th, email, ip, card, phone)`` of each row, written once: the base
+    spans, each with its entity, the neighbours' hash and the terms around it. The
+    later steps read this table and not the texts."""
+    found = df.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    for k, v in base_spans(F.col("text")).items():
+        found = found.withColumn(f"found_{k}", v)
+
+    def around(kind: str) -> Column:
+        left = _terms_of(f"substring(text, greatest(s.start - {rules.reach}, 0) + 1, s.start - greatest(s.start - {rules.reach}, 0))")
+        right = _terms_of(f"substring(text, s.end + 1, {rules.reach})")
+        return F.expr(f"""transform(found_{kind}, s -> named_struct('start', s.start, 'end', s.end, 'entity', concat('{kind}:', lower(s.value)), 'l', {left}, 'r', {right}))""")
+
+    cut = lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), F.xxhash64(F.try_element_at(s["l"], F.lit(-1)), F.try_element_at(s["r"], F.lit(1))).alias("ctx"),
+        F.array_distinct(F.concat(F.slice(F.reverse(s["l"]), 1, rules.window), F.slice(s["r"], 1, rules.window))).alias("terms"),
+    )
+    return staged(found.select("doc", "th", *(F.transform(around(k), cut).alias(k) for k in KINDS)), "pii-spans")
+
+
+def disclosing_terms(df: DataFrame, scan: DataFrame, rules: Disclosure, text_col: str = "text") -> DataFrame:
     """``(entity, term, share)`` of the pairs beyond ``rules.generalise``.
 
     Texts without an entity only add to the document frequencies. Counts are
     combined before each shuffle, so a common entity or term is a few rows there."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = base_spans(F.col(text_col))
-    entity = lambda k: lambda s: F.struct(F.concat(F.lit(k + ":"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))
-    each = F.concat(*(F.transform(spans[k], entity(k)) for k in KINDS))
-    rows = df.where(F.col(id_col).isNotNull()).withColumns({"__text": text, "__each": each})
-    hits = rows.select(F.col(id_col).alias("doc"), "__text", F.explode("__each").alias("s")).select("doc", F.col("__text").alias("text"), "s.*")
-    left = _terms(F.expr(f"substring(text, greatest(start - {rules.reach}, 0) + 1, start - greatest(start - {rules.reach}, 0))"))
-    right = _terms(F.expr(f"substring(text, end + 1, {rules.reach})"))
-    near = hits.select("doc", "entity", left.alias("l"), right.alias("r"))
-    near = near.select(
-        "doc", "entity", F.xxhash64(F.try_element_at("l", F.lit(-1)), F.try_element_at("r", F.lit(1))).alias("ctx"),
-        F.array_distinct(F.concat(F.slice(F.reverse("l"), 1, rules.window), F.slice("r", 1, rules.window))).alias("terms"),
-    )
-    near = staged(near.select("doc", "entity", "ctx", F.explode("terms").alias("term")).where(F.length("term") >= rules.least_letters), "pii-contexts")
+    hits = scan.where(F.col("doc").isNotNull()).select("doc", F.explode(F.concat(*KINDS)).alias("s"))
+    near = hits.select("doc", "s.entity", "s.ctx", F.explode("s.terms").alias("term")).where(F.length("term") >= rules.least_letters)
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_te"), F.count_distinct("ctx").alias("n_ctx"))
-    pairs = staged(pairs.where((F.col("n_ctx") >= rules.least_contexts) & (2 * F.col("n_ctx") >= F.col("n_te"))), "pii-pairs")
+    pairs = pairs.where((F.col("n_ctx") >= rules.least_contexts) & (2 * F.col("n_ctx") >= F.col("n_te")))
     entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_e"))
-    words = df.select(F.explode(F.array_distinct(_terms(text))).alias("term"))
+    # The documents with the term near any entity bound its frequency from below;
+    # a pair that can't pass with this bound needs no count over the corpus.
+    about = near.groupBy("term").agg(F.count_distinct("doc").alias("n_near"))
+    n = df.count()
+    most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - rules.generalise)) * 1.000001
+    pairs = staged(pairs.join(entities, "entity").where(F.col("n_e") < n).join(about, "term").where(F.col("n_near") <= most).drop("n_near"), "pii-pairs")
+    words = df.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
     freq = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = df.agg(F.count("*").alias("n"))
-    share = (F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))) / F.log2(F.col("n") / F.col("n_e"))
-    return pairs.join(entities, "entity").join(freq, "term").crossJoin(F.broadcast(total)).where("n > n_e").select("entity", "term", share.alias("share")).where(F.col("share") >= rules.generalise)
-
-
-def term_spans(df: DataFrame, rules: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, text_hash, terms)``: spans of the disclosing terms in the documents
-    that hold their entity. Written once, so a join with it is planned by its size."""
-    found = staged(disclosing_terms(df, rules, id_col, text_col), "pii-terms")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = base_spans(F.col(text_col))
-    entity = lambda k: lambda s: F.concat(F.lit(k + ":"), F.lower(s["value"]))
-    each = F.array_distinct(F.concat(*(F.transform(spans[k], entity(k)) for k in KINDS)))
-    holds = df.where(F.col(id_col).isNotNull()).withColumn("__each", each).select(F.col(id_col).alias("doc"), F.explode("__each").alias("entity"))
+    share = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
+    return pairs.join(freq, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= rules.generalise)
+
+
+def term_spans(df: DataFrame, scan: DataFrame, rules: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc, th, terms)``: spans of the disclosing terms in the documents that
+    hold their entity. Written once, so a join with it is planned by its size."""
+    found = staged(disclosing_terms(df, scan, rules, text_col), "pii-terms")
+    holds = scan.where(F.col("doc").isNotNull()).select("doc", F.explode(F.concat(*KINDS)).alias("s")).select("doc", "s.entity").distinct()
     own = holds.join(found, "entity").groupBy("doc", "term").agg(F.max("share").alias("share")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("own"))
-    rows = df.select(F.col(id_col).alias("doc"), text.alias("text")).join(staged(own, "pii-own"), "doc")
+    rows = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(staged(own, "pii-own"), "doc")
     hit = _located(F.col("text"), rf"(?iu){_TERM}", None, lambda m: F.map_contains_key(F.col("own"), F.lower(m["value"])))
     share = lambda s: F.try_element_at(F.col("own"), F.lower(s["value"]))
     marked = F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (share(s) >= rules.remove).alias("gone")))
-    return staged(rows.select("doc", F.xxhash64("text").alias("text_hash"), marked.alias("terms")).distinct(), "pii-term-spans")
+    return staged(rows.select("doc", F.xxhash64("text").alias("th"), marked.alias("terms")).distinct(), "pii-term-spans")
 
 
-def find(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's columns with ``email``, ``ip``, ``card``, ``phone`` (arrays of
-    ``start, end, value``) and ``terms`` (of ``start, end, gone``)."""
-    rules = rules or Disclosure()
-    own = {f"__{k}": v for k, v in base_spans(F.col(text_col)).items()}
-    more = term_spans(df, rules, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("terms").alias("__terms"))
-    out = df.withColumns(own).withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.join(more, (F.col(id_col) == F.col("__doc")) & (F.col("__own") == F.col("__hash")), "left")
-    none = F.array().cast("array<struct<start:int,end:int,gone:boolean>>")
-    return out.withColumn("__terms", F.coalesce("__terms", none)).drop("__doc", "__hash", "__own")
+_NONE = "array<struct<start:int,end:int,gone:boolean>>"
 
 
 def digests(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, the digest of the base spans, and all spans as text."""
-    found = find(df.select(id_col, text_col), rules, id_col, text_col)
-    said = F.concat(*(_said(F.col(f"__{k}"), k) for k in KINDS))
+    rules = rules or Disclosure()
+    df = df.select(id_col, text_col)
+    scan = scanned(df, rules, id_col, text_col)
+    found = scan.join(term_spans(df, scan, rules, id_col, text_col), ["doc", "th"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(_NONE)))
+    said = F.concat(*(_said(F.col(k), k) for k in KINDS))
     return found.select(
-        id_col, *(F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.array_join(said, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(said, _said(F.col("__terms"), "term")), ",").alias("spans"), F.size("__terms").cast("long").alias("n_term"),
+        F.col("doc").alias(id_col), *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.array_join(said, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(said, _said(F.col("terms"), "term")), ",").alias("spans"), F.size("terms").cast("long").alias("n_term"),
     )
 
 
+def find(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's columns with ``__email``, ``__ip``, ``__card``, ``__phone`` (arrays
+    of ``start, end, value``) and ``__terms`` (of ``start, end, gone``)."""
+    rules = rules or Disclosure()
+    own = {f"__{k}": v for k, v in base_spans(F.col(text_col)).items()}
+    more = term_spans(df, scanned(df, rules, id_col, text_col), rules, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("terms").alias("__terms"))
+    out = df.withColumns(own).withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.join(more, (F.col(id_col) == F.col("__doc")) & (F.col("__own") == F.col("__th")), "left")
+    return out.withColumn("__terms", F.coalesce("__terms", F.array().cast(_NONE))).drop("__doc", "__th", "__own")
+
+
 def sanitised(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with spans replaced in the text: ``[EMAIL]`` and so on, ``[TERM]``
     for generalised terms, nothing for removed ones. Where spans overlap, their
