@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, neardup, packing, pii, quality, repair, substring, warc
+from tessera.llm import ann, bpe, langid, neardup, packing, pii, quality, repair, substring, warc
 from tessera.llm.common import documents
 
 
@@ -24,6 +25,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, read back from Re-Pair shards."""
     return repair.round_trip(documents(spark, sf_dir))
@@ -64,6 +70,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
+    "op3_ann": op3_ann,
     "op4_repair": op4_repair,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
