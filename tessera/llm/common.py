@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on at once.
 BLOCK_BYTES = 4 << 20
@@ -163,3 +164,26 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
         value[_SPACE[raw]] = 0
         sums = np.add.reduceat(value, starts)
         return mix(sums + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), rows
+
+
+class Filter:
+    """A Bloom filter over 64-bit hashes, of at most 16 MB however many there are;
+    beyond what it holds well it only lets more rows through."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        n = hashes.count()
+        self.bits = 1 << min(27, max(16, (16 * n).bit_length()))
+        first = F.col(column).bitwiseAND(self.bits - 1)
+        second = F.shiftrightunsigned(F.col(column), 30).bitwiseAND(self.bits - 1)
+        places = hashes.select(F.explode(F.array(first, second)).alias("p"))
+        words = places.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("v"))
+        self.words = np.zeros(self.bits >> 5, np.uint32)
+        table = words.toArrow()
+        self.words[table.column("w").to_numpy()] = table.column("v").to_numpy().astype(np.uint32)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        h = hashes.astype(np.int64).view(np.uint64)
+        out = np.ones(len(h), bool)
+        for p in (h & np.uint64(self.bits - 1), (h >> np.uint64(30)) & np.uint64(self.bits - 1)):
+            out &= (self.words[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+        return out

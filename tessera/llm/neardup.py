@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, mixers, small_batches, staged, strings, word_hashes
+from tessera.llm.common import Filter, mix, mixers, small_batches, staged, strings, word_hashes
 from tessera.llm.graph import components
 
 
@@ -238,8 +238,9 @@ def _within(members: DataFrame, nodes: DataFrame, run: Callable) -> DataFrame:
     return full.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
 
 
-def settled(clusters: DataFrame, nodes: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
-    """Exact edges ``(a, b)`` between the nodes of ``clusters`` (``node, root``)."""
+def settled(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """Exact edges ``(a, b)`` between the nodes of ``clusters`` (``node, root``).
+    Only texts that a filter of the wanted hashes lets through are shuffled."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,6 +263,15 @@ def settled(clusters: DataFrame, nodes: DataFrame, texts: DataFrame, forest: For
     blocks = F.ceil(F.col("all") / forest.cluster_shingles).cast("long")
     placed = named.join(total, "root").select("node", "root", F.col("one.doc").alias("__doc"), F.col("one.th").alias("__th"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
     placed = staged(placed, "forest-clusters")
+    wanted = Filter(placed, "__th")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            batch = batch.filter(pa.array(wanted.may_hold(batch.column(1).to_numpy())))
+            raw, offsets = strings(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zlib.compress(raw[a:b], 1) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc", "th", "packed"])
+
+    texts = docs.mapInArrow(pack, "doc long, th long, packed binary")
     source = texts.join(placed, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th"))).dropDuplicates(["node"])
     full = staged(source.select("node", "root", "block", "packed").mapInArrow(sets, "node long, root long, block long, shingles binary"), "forest-sets")
     task = lambda df: df.repartition("task").sortWithinPartitions("task").mapInArrow(settle, "a long, b long")
@@ -291,17 +301,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fores
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            raw, offsets = strings(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zlib.compress(raw[a:b], 1) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc", "th", "packed"])
-
-    texts = docs.mapInArrow(pack, "doc long, th long, packed binary")
     seen = staged(profiles(docs, forest), "forest-profiles")
     nodes = seen.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc", "th")).alias("one"), F.min("doc").alias("first"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("bands").alias("bands"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     nodes = staged(nodes.where(F.assert_true(F.col("lo") == F.col("hi"), F.lit("two sets have one name")).isNull()).drop("lo", "hi"), "forest-nodes")
     clusters = components(gathered(nodes, forest), "forest-gathered")
-    roots = components(settled(clusters, nodes, texts, forest), "forest-settled")
+    roots = components(settled(clusters, nodes, docs, forest), "forest-settled")
     names = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     names = staged(names, "forest-names")
     best = names.groupBy("root").agg(F.min("first").alias("component"))
