@@ -168,8 +168,13 @@ def exact_links(sets: list[np.ndarray], percent: int) -> Callable[[int], np.ndar
 
 
 def _edges(node: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-    other = root != np.arange(len(root))
-    return pa.RecordBatch.from_pydict({"a": pa.array(node[other]), "b": pa.array(node[root[other]])})
+    """An edge from each node to the smallest one of its part. The smallest is the
+    same in most regions that a large group meets in, so its edges are few."""
+    _, part = np.unique(root, return_inverse=True)
+    least = np.full(int(part.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, part, node)
+    other = least[part] != node
+    return pa.RecordBatch.from_pydict({"a": pa.array(node[other]), "b": pa.array(least[part][other])})
 
 
 def profiles(df: DataFrame, forest: Forest) -> DataFrame:
