@@ -209,6 +209,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy()
+            spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             a, b = books.distances(_matrix(batch.column(1), dim))
             task, row, far = [], [], []
             for q in range(len(ids)):
@@ -218,7 +219,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
                 np.add.at(hit, begin[seen], 1)
                 np.add.at(hit, stop[seen], -1)
                 to = np.flatnonzero(np.cumsum(hit)[:-1] > 0)
-                task.append(to * n_blocks + int(ids[q]) // 20 % n_blocks)
+                task.append(to * n_blocks + spread[q] % n_blocks)
                 row.append(np.full(len(to), q))
                 far.append(np.full(len(to), r))
             take = np.concatenate(row)

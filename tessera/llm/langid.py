@@ -226,8 +226,9 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(pieces, np.array([langs.index(r.lang) for r in rows]), langs, s)
 
 
-def label(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None, keep: bool = False) -> DataFrame:
-    """The id (with ``keep``, all columns) with ``lang_pred`` and ``score``."""
+def label(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None, keep: bool = False, prefix: str = "") -> DataFrame:
+    """The id (with ``keep``, all columns) with ``lang_pred`` and ``score``, whose
+    names a prefix can keep apart from the table's own."""
     s = settings or Settings()
     columns = df.columns if keep else [id_col]
 
@@ -243,8 +244,8 @@ def label(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
                 best, score = p.argmax(1), np.clip(p.max(1), 0, 1)
             name = [model.langs[k] if z else "und" for k, z in zip(best, spoken, strict=True)]
             fields = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*fields, pa.array(name, pa.string()), pa.array(np.where(spoken, score, 0.0))], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*fields, pa.array(name, pa.string()), pa.array(np.where(spoken, score, 0.0))], [*columns, f"{prefix}lang_pred", f"{prefix}score"])
 
     chosen = df.select(*dict.fromkeys([*columns, text_col]))
     fields = ", ".join(f"`{c}` {k}" for c, k in df.select(*columns).dtypes)
-    return chosen.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return chosen.mapInArrow(run, f"{fields}, `{prefix}lang_pred` string, `{prefix}score` double")

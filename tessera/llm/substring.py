@@ -220,9 +220,10 @@ def repeats(docs: DataFrame, packed: DataFrame, least: int, most_pieces: int) ->
     return whole.unionByName(ranges).unionByName(rest).groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
-def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, most_pieces: int = 2048, keep: bool = False) -> DataFrame:
+def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, most_pieces: int = 2048, keep: bool = False, prefix: str = "") -> DataFrame:
     """The id (with ``keep``, all columns, the text reduced) with ``n_bytes``,
-    ``n_removed``, ``n_spans`` and ``kept_sha256``. Where the bytes left aren't
+    ``n_removed``, ``n_spans`` and ``kept_sha256``, whose names a prefix can keep
+    apart from the table's own. Where the bytes left aren't
     whole characters, the reduced text leaves out the broken ones."""
     if least <= GRAM or least > 4096:
         raise ValueError(f"least must be over {GRAM} and at most 4096")
@@ -269,8 +270,8 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
                 fields = {f.name: row.field(i) for i, f in enumerate(row.type)}
                 if keep:
                     fields[text_col] = pa.array(left, pa.string())
-                more = {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+                more = {f"{prefix}n_bytes": pa.array(n_bytes, pa.int64()), f"{prefix}n_removed": pa.array(removed, pa.int64()), f"{prefix}n_spans": pa.array(spans, pa.int64()), f"{prefix}kept_sha256": pa.array(digest, pa.string())}
                 yield pa.RecordBatch.from_pydict({c: fields[c] for c in columns} | more)
 
     schema = ", ".join(f"`{c}` {k}" for c, k in df.select(*columns).dtypes)
-    return joined.mapInArrow(finish, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(finish, f"{schema}, `{prefix}n_bytes` long, `{prefix}n_removed` long, `{prefix}n_spans` long, `{prefix}kept_sha256` string")
