@@ -24,7 +24,7 @@ NEAR = neardup.Forest(words=5, percent=80)
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a clear language."""
     model = langid.learn(docs)
-    return langid.label(docs, model, keep=True).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    return langid.label(docs, model, keep=True, prefix="__").where((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove strings of 200 bytes or more that occur more than once."""
-    out = substring.remove(docs, keep=True)
+    out = substring.remove(docs, keep=True, prefix="__")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
