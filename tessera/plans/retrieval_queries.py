@@ -102,7 +102,7 @@ def ivf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     in the tests."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
     q = e.where("item % 50 = 0").withColumnRenamed("item", "query_id")
-    return vectors.InvertedFile(e).search(q, 10, probes=16).withColumnRenamed("item", "vec_id")
+    return vectors.InvertedFile(e).search(q, 10, probes=24).withColumnRenamed("item", "vec_id")
 
 
 @register("filtered_knn", """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS item, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.label IN (1, 2, 3)),

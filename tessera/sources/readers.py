@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,8 @@ def source_tree(spark: SparkSession, root: str, extensions: Iterable[str] = DEFA
     be read are skipped. A file that isn't UTF-8 has its broken bytes replaced."""
     spark_read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     found = spark_read.load(root)
-    base = F.lit(root.rstrip("/").removeprefix("file:").replace("//", "/"))
-    path = relative_to(F.regexp_replace("path", "^[a-z]+:/+", "/"), base)
+    scheme = "^[a-z0-9]+:/+"
+    path = relative_to(F.regexp_replace("path", scheme, "/"), F.lit(re.sub(scheme, "/", root.rstrip("/"))))
     own = list(extensions)
     files = found.select(path.alias("path"), "content")
     keep = ~ignored(F.col("path"), ignores)
