@@ -86,18 +86,19 @@ def reverse_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(p, "l_partkey").groupBy("symbol").agg(F.count_distinct("l_orderkey").alias("n_chunks"), F.min("l_orderkey").alias("first_chunk"))
 
 
-@register("symbol_expansion", """WITH sym AS (SELECT p_brand AS symbol, min(p_partkey) AS chunk_id FROM part GROUP BY 1), ment AS (SELECT p_type AS symbol, p_partkey AS chunk_id FROM part),
-seeds AS (SELECT o_custkey AS query_id, o_orderkey AS rank, p_partkey AS chunk_id, CASE WHEN p_size % 3 = 0 THEN 'doc' WHEN p_size % 3 = 1 THEN 'docstring' ELSE 'code' END AS ct, p_type AS symbol, p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 JOIN part ON l_partkey = p_partkey),
+@register("symbol_expansion", """WITH sym AS (SELECT p_brand AS symbol, min(p_partkey) AS chunk_id FROM part GROUP BY 1), ment AS (SELECT p_type || ' ' || p_size AS symbol, p_partkey AS chunk_id FROM part),
+seeds AS (SELECT o_custkey AS query_id, o_orderkey AS rank, p_partkey AS chunk_id, CASE WHEN p_size % 3 = 0 THEN 'doc' WHEN p_size % 3 = 1 THEN 'docstring' ELSE 'code' END AS ct, p_type || ' ' || p_size AS symbol, p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 JOIN part ON l_partkey = p_partkey),
 c AS (SELECT query_id, sym.chunk_id, rank, 0 AS kind, 0 AS pos FROM seeds JOIN sym ON sym.symbol = p_brand WHERE ct <> 'docstring' UNION ALL SELECT query_id, ment.chunk_id, rank, 99, 0 FROM seeds JOIN ment USING (symbol) WHERE ct = 'code'),
 f AS (SELECT query_id, chunk_id, min(rank * 100 + kind) AS spot FROM c GROUP BY ALL), r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY spot, chunk_id) AS rank FROM f WHERE (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM seeds)) SELECT query_id, rank, chunk_id FROM r WHERE rank <= 50""")
 def symbol_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hop over the symbol graph for each customer's parts."""
     p = table(spark, sf_dir, "part")
     sym = p.groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_partkey").alias("chunk_id"))
-    ment = p.select(F.col("p_type").alias("symbol"), F.col("p_partkey").alias("chunk_id"))
+    name = F.concat_ws(" ", "p_type", F.col("p_size").cast("string"))
+    ment = p.select(name.alias("symbol"), F.col("p_partkey").alias("chunk_id"))
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     kind = F.when(F.col("p_size") % 3 == 0, "doc").when(F.col("p_size") % 3 == 1, "docstring").otherwise("code")
-    seeds = rows.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("rank"), F.col("p_partkey").alias("chunk_id"), kind.alias("content_type"), F.col("p_type").alias("symbol"), F.array(F.struct(F.lit(0).alias("kind"), F.col("p_brand").alias("symbol"))).alias("relations"))
+    seeds = rows.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("rank"), F.col("p_partkey").alias("chunk_id"), kind.alias("content_type"), name.alias("symbol"), F.array(F.struct(F.lit(0).alias("kind"), F.col("p_brand").alias("symbol"))).alias("relations"))
     return graph.symbol_expansion(seeds, sym, ment, 50)
 
 
