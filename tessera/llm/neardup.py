@@ -7,7 +7,9 @@
    ``region`` nodes is looked at deeper (more values of its order) until its parts
    are small; parts that stay large at the last depth are dealt at random, anew
    for each tree. Within a region, nodes whose signatures agree on ``loose`` or
-   more are joined to one another (one edge a node, never all pairs).
+   more are joined to one another (one edge a node, never all pairs). That joins
+   most of a large region; the nodes outside its largest part are then compared
+   with the whole region, in blocks, so no region's size hides a candidate.
 3. Those edges only gather what may belong together. Each gathered cluster is then
    settled on the full sets: every node is compared exactly with all nodes that it
    isn't yet linked to, over an inverted index of the cluster, and the members of
@@ -148,6 +150,19 @@ def linked(n: int, links_of: Callable[[int], np.ndarray], todo: np.ndarray | Non
                 parts.join(i, links_of(i))
 
 
+def probed(n: int, links_of: Callable[[int], np.ndarray], probes: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """A root for each of ``n`` nodes, of which ``top`` are known to belong together.
+    Every probe is asked, but for those that are already joined to ``top``: what
+    such a probe is linked with is either joined to ``top`` too or asks itself."""
+    parts = _Parts(n)
+    if len(top):
+        parts.join(top[0], top)
+    for i in probes:
+        if not len(top) or parts.root[i] != parts.root[top[0]]:
+            parts.join(i, links_of(i))
+    return parts.root
+
+
 def exact_links(sets: list[np.ndarray], percent: int) -> Callable[[int], np.ndarray]:
     """All nodes whose sets overlap that of node ``i`` in ``percent`` of the union."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -208,6 +223,11 @@ def profiles(df: DataFrame, forest: Forest) -> DataFrame:
     return df.select("doc", "th", "text").mapInArrow(run, "doc long, th long, n long, node long, check long, small binary, bands array<long>")
 
 
+#: What a row of a task is: a node to ask, one to compare with, one to compare with
+#: that is in the largest part.
+PROBE, HOST, TOP = 1, 2, 3
+
+
 def gathered(nodes: DataFrame, forest: Forest) -> DataFrame:
     """Edges ``(a, b)`` between nodes of the forest's regions that look alike."""
 
@@ -224,10 +244,12 @@ def gathered(nodes: DataFrame, forest: Forest) -> DataFrame:
     several = staged(members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "forest-regions")
     rows = staged(members.join(several, "band"), "forest-members")
     ready = rows.where(F.col("c") <= forest.region).select("node", F.col("band").alias("region"))
-    rest = rows.where(F.col("c") > forest.region)
+    rest = hot = rows.where(F.col("c") > forest.region)
+    if not hot.limit(1).count():
+        return _within(ready, nodes, run)
     for level in forest.deeper:
         if not rest.limit(1).count():
-            return _within(ready, nodes, run)
+            break
         values = F.concat("small", "small").substr(F.col("tree") * forest.depth + (1 + forest.depth), F.lit(level))
         deep = staged(rest.select("node", "tree", "band").join(nodes.select("node", "small"), "node").select("node", "tree", "band", F.xxhash64("band", values).alias("region")), "forest-deeper")
         count = staged(deep.groupBy("region").agg(F.count("*").alias("c")).where("c > 1"), "forest-counts")
@@ -235,7 +257,35 @@ def gathered(nodes: DataFrame, forest: Forest) -> DataFrame:
         ready = ready.unionByName(deep.where(F.col("c") <= forest.region).select("node", "region"))
         rest = deep.where(F.col("c") > forest.region)
     dealt = rest.select("node", F.xxhash64("region", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("c") / forest.region))).alias("region"))
-    return _within(ready.unionByName(dealt), nodes, run)
+    found = components(_within(ready.unionByName(dealt), nodes, run), "forest-near")
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_fringe(hot, found, nodes, forest))
+
+
+def _fringe(hot: DataFrame, found: DataFrame, nodes: DataFrame, forest: Forest) -> DataFrame:
+    """Edges ``(a, b)`` from the nodes outside the largest part of each hot region
+    (``node, band, c``) to all nodes of the region that look like them. ``found`` has
+    the parts so far. A task has one block of the region and one portion of what is
+    asked, each of about ``region`` nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, "region"):
+            node, role = part.column("node").to_numpy(), part.column("role").to_numpy()
+            probes, hosts = np.flatnonzero(role == PROBE), np.flatnonzero(role != PROBE)
+            if not len(probes) or not len(hosts):
+                continue
+            sig = np.frombuffer(b"".join(part.column("small").to_pylist()), np.uint8).reshape(len(node), -1)
+            least, other = forest.loose * sig.shape[1], sig[hosts]
+            yield _edges(node, probed(len(node), lambda i, sig=sig, other=other, hosts=hosts, least=least: hosts[(other == sig[i]).sum(1) >= least], probes, np.flatnonzero(role == TOP)))
+
+    parts = staged(hot.join(found, "node", "left").select("node", "band", F.ceil(F.col("c") / forest.region).cast("long").alias("blocks"), F.coalesce("root", "node").alias("part")), "forest-hot")
+    sizes = parts.groupBy("band", "part").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("part", F.struct("c", "part")).alias("top"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    sizes = staged(sizes.where(F.col("all") > F.col("most")).select("band", "top", F.ceil((F.col("all") - F.col("most")) / forest.region).cast("long").alias("portions")), "forest-hot-sizes")
+    open_ = parts.join(sizes, "band")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = open_.where("part <> top").select("node", "band", F.pmod(F.xxhash64("node"), "portions").alias("portion"), every("blocks").alias("block"), F.lit(PROBE).alias("role"))
+    hosts = open_.select("node", "band", every("portions").alias("portion"), F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.when(F.col("part") == F.col("top"), TOP).otherwise(HOST).alias("role"))
+    tasks = asked.unionByName(hosts).select("node", F.xxhash64("band", "portion", "block").alias("region"), "role")
+    return _within(tasks, nodes, run)
 
 
 def _within(members: DataFrame, nodes: DataFrame, run: Callable) -> DataFrame:

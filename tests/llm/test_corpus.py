@@ -74,6 +74,37 @@ def test_near_duplicates(spark, docs, settings):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def fringed(members, alone):
+    """A group of near copies of one text, and texts that share 0.80 to 0.85 with one
+    of the group's members and less with all others."""
+    rng, out = random.Random(23), []
+    base = [f"b{k}" for k in range(400)]
+    for k in range(members):
+        copy = list(base)
+        for at in rng.sample(range(400), 6):
+            copy[at] = f"m{k}x{at}"
+        out.append(copy)
+    for k in range(alone):
+        copy = list(rng.choice(out[:members]))
+        for at in range(k, 400, 21 if k % 2 else 20):
+            copy[at] = f"f{k}x{at}"
+        out.append(copy)
+    return dict(enumerate((" ".join(w) for w in out), 1))
+
+
+def test_near_duplicates_around_a_hot_region(spark):
+    """Texts at the edge of a group that is larger than a region."""
+    texts = fringed(260, 60)
+    sets = {d: shingles(t, 2) for d, t in texts.items()}
+    best = [max(len(sets[d] & s) / len(sets[d] | s) for e, s in sets.items() if e != d) for d in list(texts)[260:]]
+    assert sum(0.8 <= b <= 0.85 for b in best) >= 40
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute_components(texts)
+    named = lambda **search: {r.doc_id: r.component_id for r in neardup.digests(df, neardup.Forest(depth=2, **search)).collect()}
+    assert named(trees=4, region=40) == named(trees=4, region=10**6)
+    assert named(trees=32, region=100) == {d: c for d, (_, c) in want.items()}
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = neardup.digests(odd).collect()
     assert len(got) == odd.count()
