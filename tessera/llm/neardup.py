@@ -131,17 +131,14 @@ class _Parts:
             self.root[np.isin(self.root, roots)] = big
 
 
-def linked(n: int, links_of: Callable[[int], np.ndarray], todo: np.ndarray | None = None) -> np.ndarray:
+def linked(n: int, links_of: Callable[[int], np.ndarray]) -> np.ndarray:
     """A root for each of ``n`` nodes. ``links_of(i)`` gives all nodes linked with
     ``i``. Of two linked nodes in different components one is outside the largest,
     so only nodes outside it are asked."""
     parts, asked = _Parts(n), np.zeros(n, bool)
-    if todo is not None:
-        asked[:] = True
-        asked[todo] = False
     while True:
         top = parts.root[np.argmax(parts.size[parts.root])] if n else 0
-        rest = np.flatnonzero(~asked & (parts.root != top)) if parts.size[top] > 1 or todo is not None else np.flatnonzero(~asked)
+        rest = np.flatnonzero(~asked & (parts.root != top)) if n and parts.size[top] > 1 else np.flatnonzero(~asked)
         if not len(rest):
             return parts.root
         for i in rest[: 1 + len(rest) // 16]:
@@ -223,9 +220,9 @@ def profiles(df: DataFrame, forest: Forest) -> DataFrame:
     return df.select("doc", "th", "text").mapInArrow(run, "doc long, th long, n long, node long, check long, small binary, bands array<long>")
 
 
-#: What a row of a task is: a node to ask, one to compare with, one to compare with
-#: that is in the largest part.
-PROBE, HOST, TOP = 1, 2, 3
+#: What a row of a task is: one of nodes that all are to be linked; or a node to ask,
+#: one to compare with, one to compare with that is in the largest part.
+INSIDE, PROBE, HOST, TOP = 0, 1, 2, 3
 
 
 def gathered(nodes: DataFrame, forest: Forest) -> DataFrame:
@@ -310,8 +307,11 @@ def settled(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, forest: Fore
             node = part.column("node").to_numpy()
             if len(node) > 1:
                 every = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()]
-                todo = np.flatnonzero(part.column("probe").to_numpy(zero_copy_only=False))
-                yield _edges(node, linked(len(node), exact_links(every, forest.percent), todo if len(todo) else None))
+                role = part.column("role").to_numpy()
+                if role[0] == INSIDE:
+                    yield _edges(node, linked(len(node), exact_links(every, forest.percent)))
+                elif (role == PROBE).any():
+                    yield _edges(node, probed(len(node), exact_links(every, forest.percent), np.flatnonzero(role == PROBE), np.flatnonzero(role == TOP)))
 
     named = clusters.join(nodes.select("node", "n", "one"), "node")
     total = named.groupBy("root").agg(F.sum("n").alias("all"))
@@ -330,7 +330,7 @@ def settled(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, forest: Fore
     source = texts.join(placed, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th"))).dropDuplicates(["node"])
     full = staged(source.select("node", "root", "block", "packed").mapInArrow(sets, "node long, root long, block long, shingles binary"), "forest-sets")
     task = lambda df: df.repartition("task").sortWithinPartitions("task").mapInArrow(settle, "a long, b long")
-    inside = full.select("node", F.xxhash64("root", "block").alias("task"), F.lit(False).alias("probe"), "shingles")
+    inside = full.select("node", F.xxhash64("root", "block").alias("task"), F.lit(INSIDE).alias("role"), "shingles")
     edges = staged(task(inside), "forest-links")
     large = placed.where("blocks > 1")
     if not large.limit(1).count():
@@ -344,9 +344,10 @@ def settled(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, forest: Fore
     # A block's probes come in portions, each with the whole block.
     share = F.sum(F.octet_length("shingles") / 8).alias("all")
     portions = staged(probes.groupBy("root", "block").agg(share).select("root", "block", F.ceil(F.col("all") / forest.cluster_shingles).cast("long").alias("portions")), "forest-portions")
-    asked = probes.join(portions, ["root", "block"]).select("node", F.xxhash64("root", "block", F.pmod(F.xxhash64("node"), "portions")).alias("task"), F.lit(True).alias("probe"), "shingles")
-    hosts = full.join(portions, ["root", "block"]).select("node", "root", "block", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"))
-    hosts = hosts.select("node", F.xxhash64("root", "block", "portion").alias("task"), F.lit(False).alias("probe"), "shingles")
+    asked = probes.join(portions, ["root", "block"]).select("node", F.xxhash64("root", "block", F.pmod(F.xxhash64("node"), "portions")).alias("task"), F.lit(PROBE).alias("role"), "shingles")
+    known = parts.join(top, "root").select("node", F.when(F.col("part") == F.col("top"), TOP).otherwise(HOST).alias("role"))
+    hosts = full.join(portions, ["root", "block"]).join(known, "node").select("node", "root", "block", "role", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"))
+    hosts = hosts.select("node", F.xxhash64("root", "block", "portion").alias("task"), "role", "shingles")
     return edges.unionByName(task(hosts.unionByName(asked)))
 
 

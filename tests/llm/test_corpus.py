@@ -105,6 +105,41 @@ def test_near_duplicates_around_a_hot_region(spark):
     assert named(trees=32, region=100) == {d: c for d, (_, c) in want.items()}
 
 
+def test_near_duplicate_probes_are_asked():
+    """Probes that link with one another may still lead to hosts of the block."""
+    links = {0: [0, 1], 1: [0, 1, 2], 2: [1, 2], 3: [3], 4: [4, 5], 5: [4, 5]}
+    of = lambda i: np.array(links[i])
+    for top in ([], [2, 3]):
+        root = neardup.probed(6, of, np.array([0, 1, 4]), np.array(top, int))
+        assert root[0] == root[1] == root[2] and root[4] == root[5] != root[0]
+        assert (root[3] == root[2]) == bool(top)
+    pair = {0: [0], 1: [1, 2], 2: [1, 2, 3], 3: [2, 3]}
+    root = neardup.probed(4, lambda i: np.array(pair[i]), np.array([1, 2]), np.zeros(0, int))
+    assert root[1] == root[2] == root[3] != root[0]
+
+
+def chained(groups=3, members=12):
+    """Groups of copies, and chains of two whose last text alone leads to a group."""
+    rng, out = random.Random(31), []
+    for g in range(groups):
+        base = [f"g{g}x{k}" for k in range(100)]
+        for k in range(members):
+            out.append([*base, f"t{g}x{k}"])
+        for c in range(members):
+            at = rng.sample(range(100), 5)
+            near = [f"c{g}x{c}x{w}" if w in at else x for w, x in enumerate(base)]
+            out += [near, [f"d{g}x{c}x{w}" if w % 20 == 3 else x for w, x in enumerate(near)]]
+    return dict(enumerate((" ".join(w) for w in out), 1))
+
+
+def test_near_duplicates_in_blocks(spark):
+    """Clusters cut in many blocks, with chains that leave their block."""
+    texts = chained()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.digests(df, neardup.Forest(cluster_shingles=700)).collect()}
+    assert got == brute_components(texts)
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = neardup.digests(odd).collect()
     assert len(got) == odd.count()
