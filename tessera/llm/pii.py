@@ -8,8 +8,8 @@ without the entity and 0 where the two are independent. A term near an entity
 (``window`` words to either side) whose share passes ``remove`` is removed from
 the documents that hold the entity; from ``generalise`` on it is replaced by a
 placeholder. Near copies of one document repeat one context and prove nothing, so
-a pair also needs ``least_contexts`` different neighbour pairs, and at least half
-as many as it has documents.
+a pair also needs ``least_contexts`` different neighbour pairs. That is a number of
+its own, so copies added to the corpus never cancel what other documents show.
 
 The patterns are written so that Java's engine neither backtracks nor recurses
 (possessive loops, starts only where a run starts), which keeps them linear in
@@ -141,7 +141,7 @@ def disclosing_terms(df: DataFrame, scan: DataFrame, rules: Disclosure, text_col
     hits = scan.where(F.col("doc").isNotNull()).select("doc", F.explode(F.concat(*KINDS)).alias("s"))
     near = hits.select("doc", "s.entity", "s.ctx", F.explode("s.terms").alias("term")).where(F.length("term") >= rules.least_letters)
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_te"), F.count_distinct("ctx").alias("n_ctx"))
-    pairs = pairs.where((F.col("n_ctx") >= rules.least_contexts) & (2 * F.col("n_ctx") >= F.col("n_te")))
+    pairs = pairs.where(F.col("n_ctx") >= rules.least_contexts)
     entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_e"))
     # The documents with the term near any entity bound its frequency from below;
     # a pair that can't pass with this bound needs no count over the corpus.

@@ -232,6 +232,15 @@ def test_pii_disclosing_terms(spark):
     assert all(clean[k] == t for k, t in disclosing()[12:])
 
 
+def test_pii_copies_cancel_no_term(spark):
+    """A hot group of copies beside the independent documents of a pair."""
+    own = disclosing()
+    texts = own + [(k, own[0][1]) for k in range(400, 460)]
+    got = {r.doc_id: r.n_term for r in pii.digests(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(got[k] >= 1 for k in [*range(12), *range(400, 460)])
+    assert all(got[k] == 0 for k in range(12, 400))
+
+
 def test_pii_is_native(docs):
     plan = pii.digests(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
