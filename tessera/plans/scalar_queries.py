@@ -142,6 +142,14 @@ def fn_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.length(tx.clamped_bytes(F.col("text"), 100)).cast("long").alias("kept_chars"), F.array_join(short, ",").alias("items"))
 
 
+@register("fn_clamp_all")
+def fn_clamp_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte limit over all documents: short, empty and null texts stay as they are."""
+    t = F.col("text")
+    kept = tx.clamped_bytes(t, 100)
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(kept).cast("long").alias("kept_chars"), F.octet_length(kept).cast("long").alias("kept_bytes"), (kept == t).alias("whole"))
+
+
 @register("fn_symbols", r"""WITH n AS (SELECT doc_id, regexp_extract_all(coalesce(text, '') || ' see a.Bc and `run(x)` or `this`', '\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b') AS q FROM documents)
 SELECT doc_id, len(list_distinct(list_filter(q, lambda x: NOT lower(x) IN ('true')))) + 1 AS n_symbols, TRUE AS has_run, FALSE AS has_this FROM n""")
 def fn_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
