@@ -83,6 +83,12 @@ def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("query_id", F.array_join(qt.sparse_extras(F.col("query")), ",").alias("extras"))
 
 
+@register("query_rewrite_all")
+def query_rewrite_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extra words of the keyword channel for queries of every shape."""
+    return shaped_queries(spark, sf_dir).select("query_id", "query", F.array_join(qt.sparse_extras(F.col("query")), ",").alias("extras"))
+
+
 @register("query_gates", f"""WITH {SHAPED_SQL}, {_SIGNALS}, vocab AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS name FROM documents)
 SELECT query_id, code AND query_id % 8 = 2 AS bypass, code AND query_id % 8 = 2 AND string_split(query, '.')[1] IN (SELECT name FROM vocab) AS refs_pool FROM forms""")
 def query_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
