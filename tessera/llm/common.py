@@ -7,10 +7,12 @@ folder named by ``spark.checkpoint.dir``; only where that setting is missing
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+
+
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    """The C library's call that gives free memory back, where it has one."""
+    with contextlib.suppress(OSError, AttributeError):
+        return ctypes.CDLL(None).malloc_trim
+    return lambda _: 0
+
+
+def release() -> None:
+    """Give free memory of this worker back to the machine. Workers are reused, and
+    what one task has freed would otherwise stay with them through all later ones."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, with its memory released when it ends."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return out
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share. A session on one machine without
+    the setting gets a private folder; a cluster without it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not found:
         found = getattr(shared_root, "own", None)
         if not found:

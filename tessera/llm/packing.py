@@ -46,13 +46,14 @@ def _order_key(ids: np.ndarray) -> int:
     return int(pairs.min() >> np.uint64(1))
 
 
-def tokenised(df: DataFrame, id_col: str, text_col: str, p: Packing, ranks_path: str) -> DataFrame:
+def tokenised(df: DataFrame, id_col: str, text_col: str, p: Packing, ranks_path: str, json_path: str) -> DataFrame:
     """``(doc, place, n, ids)`` of each row; ids are unsigned 16-bit."""
+    special = vocab.special(json_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([p.end_id], np.uint32)
         for batch in small_batches(batches, "text"):
-            rows = [np.concatenate([vocab.text_ids(t or "", ranks_path), end]).astype("<u2") for t in batch.column(1).to_pylist()]
+            rows = [np.concatenate([vocab.text_ids(t or "", ranks_path, special), end]).astype("<u2") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc": batch.column(0), "place": pa.array([_order_key(x) for x in rows], pa.int64()), "n": pa.array([len(x) for x in rows], pa.int64()), "ids": pa.array([x.tobytes() for x in rows], pa.binary())})
 
     return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, place long, n long, ids binary")
@@ -148,10 +149,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", packing:
     16-bit little-endian in a binary), ``ids_crc32``, ``doc_tokens``,
     ``sequence_id``, ``offset``."""
     p = packing or Packing()
-    ranks_path = ranks_path or vocab.default_ranks()
-    if not vocab.proven_equal(json_path or vocab.default_json(), ranks_path):
+    ranks_path, json_path = ranks_path or vocab.default_ranks(), json_path or vocab.default_json()
+    if not vocab.proven_equal(json_path, ranks_path):
         raise ValueError("the rank file isn't the vocabulary of the tokenizers file")
-    rows = staged(tokenised(df, id_col, text_col, p, ranks_path), "packing-ids")
+    if max(vocab.size(json_path), p.end_id + 1) > 1 << 16:
+        raise ValueError("ids of this vocabulary need more than 16 bits")
+    rows = staged(tokenised(df, id_col, text_col, p, ranks_path, json_path), "packing-ids")
     seen, n_docs, mean = frequencies(rows)
     idf = np.log(1 + (n_docs - seen + 0.5) / (seen + 0.5)).astype(np.float32)
     idf[p.end_id] = 0

@@ -1,21 +1,24 @@
 """Token ids in Re-Pair grammar shards.
 
 Documents are dealt to shards in ascending ``doc_id`` order. Each shard's ids are
-compressed by itself: the frequent neighbouring pairs are replaced by new symbols
-(nonterminals), again and again, until no pair is frequent or the symbols run out.
-A pair never spans two documents, so each document is a run of symbols, and with
-the rules, their expansion lengths and the block table any document can be decoded
-without its neighbours.
-
-File: ``RPG1``, a header, document table, rules, expansion lengths, block table,
-then the symbols in zstd blocks. Symbols are unsigned 16-bit, so the vocabulary
-and the rules of one shard share 65,536 values.
-
-The ids are those of the tokenizers library and its file (``encode_special_tokens``
-set: their strings are ordinary text). On the main path they come from the rank
-file by tiktoken, once ``vocab.proven_equal`` has compared the two files entry for
-entry; ``engine="tokenizers"`` uses the other library. Null texts count as empty
-and have the end id only; null ids sort first; equal ids sort by text hash.
+compressed by itself: frequent neighbouring pairs are replaced by new symbols
+(nonterminals), again and again, until no pair occurs ``least`` times. Of pairs that
+overlap, the more frequent one goes first. A pair never spans two documents, so each
+document is a run of symbols, and with the rules, their expansion lengths and the
+block table any document can be decoded without its neighbours.
+
+File: ``RPG2``, a header, document table, rules, expansion lengths, block table,
+then the symbols in zstd blocks. Symbols are unsigned 32-bit, so neither the
+vocabulary nor the rules run out.
+
+The ids are those of the tokenizers library and its file as its own call gives them
+(the text of its special token is that token's id). On the main path they come from
+the rank file by tiktoken, once ``vocab.proven_equal`` has compared the two files
+entry for entry; ``engine="tokenizers"`` uses the other library. Null and empty texts
+have the end id only; null ids sort first; equal ids (repeated rows, ties) sort by
+text hash. A document longer than ``shard_tokens`` is a shard of its own, however
+long. An empty table writes no file and gives no rows. Only the id and the text
+column are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -33,12 +36,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import files, vocab
-from tessera.llm.common import shared_path, small_batches, staged
+from tessera.llm.common import release, shared_path, small_batches, staged, tidy
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 _HEAD = struct.Struct("<4sIQQQI")
 #: Symbols of one zstd block.
 BLOCK = 1 << 16
+#: Bits of a slot in the table that counts pairs.
+SLOTS = 20
+#: Most tasks that read files back; beyond them a task reads several files in turn.
+READERS = 10_000
 
 
 @dataclass(frozen=True)
@@ -50,104 +57,139 @@ class Grammar:
     right: np.ndarray
 
     @functools.cached_property
-    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and length of each symbol's expansion, and the expansions."""
-        n = self.first + len(self.left)
-        size = np.ones(n, np.int64)
-        rows: list[np.ndarray] = []
-        plain = np.arange(self.first, dtype=np.uint16)
-
-        def expansion(s: int) -> np.ndarray:
-            return plain[s : s + 1] if s < self.first else rows[s - self.first]
-
-        for k, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
-            rows.append(np.concatenate([expansion(a), expansion(b)]))
-            size[self.first + k] = len(rows[-1])
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        return start, size, np.concatenate([plain, *rows])
+    def levels(self) -> list[tuple[int, int]]:
+        """Ranges of rules whose symbols all stand before the range."""
+        most = np.maximum.accumulate(np.maximum(self.left, self.right)) if len(self.left) else self.left
+        out, lo = [], 0
+        while lo < len(self.left):
+            hi = int(np.searchsorted(most, self.first + lo, "left"))
+            out.append((lo, hi))
+            lo = hi
+        return out
+
+    @functools.cached_property
+    def size(self) -> np.ndarray:
+        """Length of each symbol's expansion."""
+        out = np.ones(self.first + len(self.left), np.int64)
+        for lo, hi in self.levels:
+            out[self.first + lo : self.first + hi] = out[self.left[lo:hi]] + out[self.right[lo:hi]]
+        return out
+
+    @functools.cached_property
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start of each symbol's expansion, and the expansions."""
+        start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        out = np.arange(int(self.size.sum()), dtype=np.uint32)
+        for lo, hi in self.levels:
+            pairs = np.stack([self.left[lo:hi], self.right[lo:hi]], 1).ravel()
+            at = start[self.first + lo]
+            part = self._gathered(pairs, start, out)
+            out[at : at + len(part)] = part
+        return start, out
+
+    def _gathered(self, symbols: np.ndarray, start: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        n = self.size[symbols]
+        return flat[np.arange(int(n.sum())) + np.repeat(start[symbols] - (np.cumsum(n) - n), n)]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        start, size, flat = self.flat
-        n = size[symbols]
-        total = int(n.sum())
-        if not total:
-            return np.zeros(0, np.uint16)
-        shift = start[symbols] - np.concatenate([[0], np.cumsum(n)[:-1]])
-        return flat[np.arange(total) + np.repeat(shift, n)]
-
-
-def _replace(seq: np.ndarray, last: np.ndarray, first: int, room: int, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """One round: new symbols, new ends of documents, and the codes of the rules."""
-    if len(seq) < 2 or room <= 0:
-        return None
-    code = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-    slot = (code * np.uint32(0x9E3779B1)) >> np.uint32(12)
-    slot[last[:-1]] = 0
-    seen = np.bincount(slot, minlength=1 << 20)
-    k = min(per_round, room)
-    floor = max(least, int(np.partition(seen, -(k + k // 4))[-(k + k // 4)]))
-    hot = (seen >= floor)[slot]
-    hot &= ~last[:-1]
-    at = np.flatnonzero(hot)
-    own = code[at]
-    pairs, n = np.unique(own, return_counts=True)
-    good = np.flatnonzero(n >= least)
-    if not len(good):
-        return None
-    if len(good) > k:
-        good = good[np.lexsort((pairs[good], -n[good]))[:k]]
-    chosen = np.sort(pairs[good])
-    rule = np.searchsorted(chosen, own)
-    rule[rule == len(chosen)] = 0
-    hit = chosen[rule] == own
-    at, rule = at[hit], rule[hit]
-    head = np.ones(len(at), bool)
-    head[1:] = at[1:] != at[:-1] + 1
-    begin = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-    keep = (np.arange(len(at)) - begin) % 2 == 0
-    at, rule = at[keep], rule[keep]
-    used = np.bincount(rule, minlength=len(chosen))
-    worth = used >= 3
-    if not worth.any():
-        return None
-    number = np.cumsum(worth) - 1
-    keep = worth[rule]
-    at, rule = at[keep], number[rule[keep]]
-    seq, last = seq.copy(), last.copy()
-    seq[at] = first + rule
-    last[at] = last[at + 1]
-    stay = np.ones(len(seq), bool)
-    stay[at + 1] = False
-    return seq[stay], last[stay], chosen[worth]
-
-
-def compress(ids: np.ndarray, sizes: np.ndarray, first: int, per_round: int = 8192, least: int = 8) -> tuple[Grammar, np.ndarray, np.ndarray]:
-    """Grammar, symbols, and each document's first symbol (with the end)."""
-    seq, last = ids.astype(np.uint16), np.zeros(len(ids), bool)
-    last[np.cumsum(sizes)[sizes > 0] - 1] = True
+        """The ids of a run of symbols. Where all expansions together would be much
+        longer than the run's, the run is opened pair by pair instead."""
+        if not len(symbols):
+            return np.zeros(0, np.uint32)
+        if "flat" in self.__dict__ or int(self.size.sum()) <= max(1 << 22, 4 * int(self.size[symbols].sum())):
+            return self._gathered(symbols, *self.flat)
+        out = symbols.astype(np.uint32)
+        while (deep := out >= self.first).any():
+            rule = out[deep] - self.first
+            wide = np.repeat(out, 1 + deep)
+            at = np.flatnonzero(deep) + np.arange(len(rule))
+            wide[at], wide[at + 1] = self.left[rule], self.right[rule]
+            out = wide
+        return out
+
+
+def compress(ids: np.ndarray, sizes: np.ndarray, first: int, least: int = 8) -> tuple[Grammar, np.ndarray, np.ndarray]:
+    """Grammar, symbols, and each document's first symbol (with the end).
+
+    Pairs are counted in a table of slots; of pairs that share a slot one is counted,
+    and the others stay for the next round, so counts are exact.
+
+    A round looks at ``live`` places: at first all, later those where a pair is new
+    and those whose frequent pair lost to a neighbour. A pair that was rare once
+    never gets more frequent, so no other place can matter. Of neighbouring places
+    the one with the more frequent pair is replaced, in a run of one pair every
+    other. The most frequent pair loses nowhere, so every round gets somewhere."""
+    # The last symbol of each document carries a mark in its highest bit.
+    mark = np.uint32(1 << 31)
+    seq = ids.astype(np.uint32)
+    seq[np.cumsum(sizes)[sizes > 0] - 1] |= mark
     rules: list[np.ndarray] = []
     n = first
-    while (done := _replace(seq, last, n, 65536 - n, per_round, least)) is not None:
-        seq, last, chosen = done
-        rules.append(chosen)
-        n += len(chosen)
-    codes = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
+    held = np.zeros(1 << SLOTS, np.uint64)
+    live = np.flatnonzero(seq < mark)
+    while len(live) >= least:
+        code = (seq[live].astype(np.uint64) << np.uint64(32)) | (seq[live + 1] & ~mark)
+        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
+        held[slot] = code
+        met = held[slot] == code
+        here = np.bincount(slot if met.all() else slot[met], minlength=1 << SLOTS)[slot]
+        hot = met & (here >= least)
+        # Pairs of one count are ordered by their slot; who shares it waits a round.
+        order = np.where(hot, here << SLOTS | slot, -1)
+        if not hot.any():
+            if met.all():
+                break
+            live = live[~met]
+            continue
+        near = live[1:] == live[:-1] + 1
+        up = order[1:] >= order[:-1]
+        same = near & up & (order[1:] <= order[:-1]) & hot[1:]
+        win = hot.copy()
+        win[1:] &= ~near | up
+        win[:-1] &= ~near | same | ~up
+        if same.any():
+            same = np.append(False, same)
+            place = np.arange(len(live))
+            win &= (place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 0
+        chosen = slot[win]
+        used = np.bincount(chosen, minlength=1 << SLOTS) >= min(3, (least + 1) // 2)
+        if (thin := ~used[chosen]).any():
+            win[np.flatnonzero(win)[thin]] = False
+            chosen = chosen[~thin]
+        number = np.cumsum(used, dtype=np.int32) - 1
+        pairs = held[used]
+        rules.append(pairs)
+        chosen = number[chosen]
+        at = live[win]
+        seq[at] = chosen.view(np.uint32) + np.uint32(n) | seq[at + 1] & mark
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        lost = live[(hot | ~met) & ~win]
+        lost = lost[stay[lost]]
+        n += len(pairs)
+        seq = seq[stay]
+        fresh = at - np.arange(len(at))
+        lost -= np.searchsorted(at + 1, lost, "right")
+        seen = np.zeros(len(seq), bool)
+        seen[fresh] = seen[fresh[fresh > 0] - 1] = seen[lost] = True
+        seen &= seq < mark
+        live = np.flatnonzero(seen)
+    codes = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
     ends = np.zeros(len(sizes), np.int64)
-    ends[sizes > 0] = np.flatnonzero(last) + 1
-    return Grammar(first, (codes >> np.uint32(16)).astype(np.uint16), (codes & np.uint32(0xFFFF)).astype(np.uint16)), seq, np.concatenate([[0], np.maximum.accumulate(ends)])
+    ends[sizes > 0] = np.flatnonzero(seq >= mark) + 1
+    return Grammar(first, (codes >> np.uint64(32)).astype(np.uint32), (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)), seq & ~mark, np.concatenate([[0], np.maximum.accumulate(ends)])
 
 
 def to_bytes(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray, first: int) -> bytes:
     """A shard file."""
     grammar, seq, bounds = compress(ids, sizes, first)
     packer = zstandard.ZstdCompressor(level=1)
-    packed = [packer.compress(seq[k : k + BLOCK].astype("<u2").tobytes()) for k in range(0, len(seq), BLOCK)]
+    packed = [packer.compress(seq[k : k + BLOCK].astype("<u4").tobytes()) for k in range(0, len(seq), BLOCK)]
     rows = np.array([0 if x is None else x for x in doc_ids], "<i8")
     null = np.packbits(np.array([x is None for x in doc_ids], bool))
-    _, size, _ = grammar.flat
     return b"".join([
         _HEAD.pack(MAGIC, first, len(rows), len(grammar.left), len(seq), len(packed)), rows.tobytes(), null.tobytes(), sizes.astype("<i8").tobytes(), bounds.astype("<i8").tobytes(),
-        grammar.left.astype("<u2").tobytes(), grammar.right.astype("<u2").tobytes(), size[first:].astype("<u4").tobytes(), np.array([len(x) for x in packed], "<u4").tobytes(), *packed,
+        grammar.left.astype("<u4").tobytes(), grammar.right.astype("<u4").tobytes(), grammar.size[first:].astype("<u4").tobytes(), np.array([len(x) for x in packed], "<u4").tobytes(), *packed,
     ])
 
 
@@ -170,14 +212,14 @@ class Shard:
         null = np.unpackbits(take("u1", (docs + 7) // 8), count=docs).astype(bool)
         self.doc_ids = [None if z else int(x) for x, z in zip(rows, null, strict=True)]
         self.sizes, self.bounds = take("<i8", docs), take("<i8", docs + 1)
-        self.grammar = Grammar(first, take("<u2", rules), take("<u2", rules))
+        self.grammar = Grammar(first, take("<u4", rules), take("<u4", rules))
         self.lengths = take("<u4", rules)
         packed = np.concatenate([[0], np.cumsum(take("<u4", n_blocks).astype(np.int64))]) + at
-        self._block = lambda k: np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[packed[k] : packed[k + 1]]), "<u2")
+        self._block = lambda k: np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[packed[k] : packed[k + 1]]), "<u4")
 
     def symbols(self, lo: int, hi: int) -> np.ndarray:
         if lo >= hi:
-            return np.zeros(0, np.uint16)
+            return np.zeros(0, np.uint32)
         parts = [self._block(k) for k in range(lo // BLOCK, (hi - 1) // BLOCK + 1)]
         base = lo // BLOCK * BLOCK
         return np.concatenate(parts)[lo - base : hi - base]
@@ -195,9 +237,9 @@ def _engine(name: str, json_path: str, ranks_path: str):
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(json_path)
-        own.encode_special_tokens = True
         return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
-    return lambda text: vocab.text_ids(text, ranks_path)
+    special = vocab.special(json_path)
+    return lambda text: vocab.text_ids(text, ranks_path, special)
 
 
 def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_tokens: int = 2_000_000, engine: str = "ranks", json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
@@ -206,7 +248,7 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     json_path, ranks_path = json_path or vocab.default_json(), ranks_path or vocab.default_ranks()
     if engine == "ranks" and not vocab.proven_equal(json_path, ranks_path):
         raise ValueError("the rank file isn't the vocabulary of the tokenizers file; use engine='tokenizers'")
-    first = 50257
+    first = max(vocab.size(json_path), end_id + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, k = _engine(engine, json_path, ranks_path), files.partition(), 0
@@ -221,12 +263,13 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
                 out.write(to_bytes(names, np.concatenate(ids), np.array([len(x) for x in ids], np.int64), first))
             row = pa.RecordBatch.from_pydict({"file": [path], "part": pa.array([part], pa.int64()), "shard": pa.array([k], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([held], pa.int64())})
             ids, names, held, k = [], [], 0, k + 1
+            release()
             return row
 
         end = np.array([end_id], np.uint32)
         for batch in small_batches(batches, text_col):
             for name, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist(), strict=True):
-                ids.append(np.concatenate([encode(text or ""), end]).astype(np.uint16))
+                ids.append(np.concatenate([encode(text or ""), end]))
                 names.append(name)
                 held += len(ids[-1])
                 if held >= shard_tokens:
@@ -235,7 +278,7 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
             yield flush()
 
     dealt = df.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
-    manifest = staged(dealt.mapInArrow(run, "file string, part long, shard long, n_docs long, n_tokens long"), "repair-manifest")
+    manifest = staged(dealt.mapInArrow(tidy(run), "file string, part long, shard long, n_docs long, n_tokens long"), "repair-manifest")
     inner = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("all_tokens")).withColumn("before", F.coalesce(F.sum("all_tokens").over(outer), F.lit(0)))
@@ -260,7 +303,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64()),
                 })
 
-    return manifest.select("file", "start").repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A fixed number of tasks: the names are too few bytes for the planner to deal.
+    listed = manifest.select("file", "start")
+    n = max(1, min(READERS, listed.count()))
+    return listed.repartition(n).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(df: DataFrame, **options) -> DataFrame:

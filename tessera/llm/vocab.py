@@ -37,11 +37,11 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def encoding(path: str):
-    """A tiktoken encoding without special tokens over a rank file."""
+def encoding(path: str, special: tuple[str, int] | None = None):
+    """A tiktoken encoding over a rank file, with one special token or none."""
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks(path), special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks(path), special_tokens=dict([special] if special else []))
 
 
 @functools.cache
@@ -61,34 +61,67 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@functools.cache
+def specification(json_path: str) -> dict:
+    with open(json_path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+@functools.cache
+def special(json_path: str) -> tuple[str, int] | None:
+    """The text that a tokenizers file takes as one id wherever it stands; a file
+    with several isn't ``proven_equal``."""
+    for t in specification(json_path).get("added_tokens") or []:
+        return t["content"], t["id"]
+    return None
+
+
+@functools.cache
+def size(json_path: str) -> int:
+    """One more than the largest id of a tokenizers file."""
+    return 1 + max([*specification(json_path)["model"]["vocab"].values(), *(t["id"] for t in specification(json_path).get("added_tokens") or [])])
+
+
+#: The split of a ByteLevel step that names no pattern of its own.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @functools.cache
 def proven_equal(json_path: str, ranks_path: str) -> bool:
     """Whether the tokenizers file and the rank file are one vocabulary: the same
-    bytes at each id, the k-th merge makes the k-th joined token, and the same
-    split before the merges. Then the two libraries give the same ids for every
-    text, and the faster one may stand for the other."""
-    with open(json_path, encoding="utf-8") as f:
-        spec = json.load(f)
+    bytes at each id, the k-th merge makes the k-th joined token, the same split
+    before the merges, and added tokens that are cut out of a text as plain strings.
+    Then ``text_ids`` gives the ids of the tokenizers library for every text, by the
+    faster library."""
+    spec = specification(json_path)
     letters, table = _byte_letters(), ranks(ranks_path)
-    vocab = {k: v for k, v in spec["model"]["vocab"].items() if v < len(table)}
-    if any(table.get(bytes(letters[c] for c in k)) != v for k, v in vocab.items()) or len(vocab) != len(table):
+    added = spec.get("added_tokens") or []
+    own = {t["content"] for t in added}
+    vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in own}
+    if len(vocab) != len(table) or any(table.get(bytes(letters[c] for c in k)) != v for k, v in vocab.items()):
         return False
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
     if any(vocab[a + b] != 256 + k for k, (a, b) in enumerate(merges)) or 256 + len(merges) != len(table):
         return False
+    if len(own) > 1 or any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"] for t in added):
+        return False
     pre = spec["pre_tokenizer"]
     plain = spec.get("normalizer") is None and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges")
-    return plain and pre["type"] == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return plain and pre["type"] == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and pattern() == BYTE_LEVEL
 
 
 #: Characters up to which a text is encoded at once.
 AT_ONCE = 200_000
-
-
-def text_ids(text: str, path: str) -> np.ndarray:
-    """Ids of a whole text as unsigned 32-bit integers; exact for any length."""
+def text_ids(text: str, path: str, special: tuple[str, int] | None = None) -> np.ndarray:
+    """Ids of a whole text as unsigned 32-bit integers; exact for any length. The
+    text of ``special`` is its id wherever it stands, and what is between is encoded
+    by itself, as in the tokenizers library's own call."""
     if len(text) <= AT_ONCE:
-        return np.array(encoding(path).encode_ordinary(text), np.uint32)
+        return encoding(path, special).encode_to_numpy(text, allowed_special="all") if special else np.array(encoding(path).encode_ordinary(text), np.uint32)
     from tessera.llm.bpe import encode_tree
 
-    return encode_tree(text, path)
+    parts = [encode_tree(x, path) for x in (text.split(special[0]) if special else [text])]
+    if len(parts) == 1:
+        return parts[0]
+    mark = np.array([special[1]], np.uint32)
+    return np.concatenate([x for p in parts for x in (mark, p)][1:])

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -18,7 +19,6 @@ from tessera.llm import bpe, packing, pii, quality, repair, vocab
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -26,11 +26,34 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_vocabularies_are_equal():
+def test_vocabularies_are_equal(tmp_path, monkeypatch):
     assert vocab.proven_equal(vocab.default_json(), vocab.default_ranks())
+    other = tmp_path / "other.json"
+    for change in ({"added_tokens": [{"id": 50256, "content": "x", "lstrip": True, "rstrip": False, "single_word": False}]}, {"normalizer": {"type": "NFC"}}):
+        other.write_text(json.dumps(json.loads(open(vocab.default_json()).read()) | change))
+        vocab.specification.cache_clear()
+        vocab.proven_equal.cache_clear()
+        assert not vocab.proven_equal(str(other), vocab.default_ranks())
+    monkeypatch.setattr(vocab, "pattern", lambda: r"\s+|\S+")
+    vocab.proven_equal.cache_clear()
+    assert not vocab.proven_equal(vocab.default_json(), vocab.default_ranks())
+    vocab.proven_equal.cache_clear()
+    monkeypatch.undo()
     assert not vocab.proven_equal(vocab.default_json(), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def test_ids_are_those_of_the_tokenizers_library(tokenizer, monkeypatch):
+    """The text of the special token included, and texts beyond what is encoded at once."""
+    rng, special = random.Random(1), vocab.special(vocab.default_json())
+    parts = ["a", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "<|endoftext|", "'s", "1", "é", "日", "\u3000", "\x1c", "\x85", "!", "x ", "😀", " \n"]
+    assert vocab.text_ids("a <|endoftext|> b", vocab.default_ranks(), special).tolist() == [64, 220, 50256, 275] == tokenizer("a <|endoftext|> b")
+    for most in (vocab.AT_ONCE, 3):
+        monkeypatch.setattr(vocab, "AT_ONCE", most)
+        for _ in range(500):
+            text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+            assert vocab.text_ids(text, vocab.default_ranks(), special).tolist() == tokenizer(text), text
+
+
 @pytest.mark.parametrize("leaf", [1, 3, 16, 200])
 def test_bpe_tree_is_exact(leaf):
     rng = random.Random(leaf)
@@ -87,11 +110,42 @@ def test_repair_grammar():
     ends = np.cumsum(sizes)
     for k in range(len(sizes)):
         assert shard.decode(k).tolist() == ids[ends[k] - sizes[k] : ends[k]].tolist()
-    _, size, _ = shard.grammar.flat
-    assert shard.lengths.tolist() == size[50257:].tolist()
+    assert shard.lengths.tolist() == shard.grammar.size[50257:].tolist()
     assert shard.doc_ids[0] is None
 
 
+@pytest.mark.parametrize(("first", "kinds"), [(50257, 3), (50257, 40), (300_000, 200_000)])
+def test_repair_leaves_no_frequent_pair(first, kinds):
+    """Against a plain count of the pairs that are left, within documents."""
+    rng = np.random.default_rng(kinds)
+    for least in (3, 8):
+        sizes = rng.integers(0, 300, 80)
+        ids = np.minimum(rng.zipf(1.3, sizes.sum()), kinds).astype(np.uint32) - 1
+        grammar, seq, bounds = repair.compress(ids, sizes, first, least)
+        assert (grammar.expand(seq) == ids).all() and len(grammar.left) > 0
+        runs = [seq[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        left = collections.Counter(p for r in runs for p in zip(r[:-1], r[1:], strict=True))
+        assert max(left.values(), default=0) < least
+        both = repair.Grammar(first, grammar.left, grammar.right)
+        out = seq.copy()
+        while (out >= first).any():
+            out = np.array([x for s in out for x in ((both.left[s - first], both.right[s - first]) if s >= first else (s,))], np.uint32)
+        assert (out == ids).all()
+
+
+def test_repair_long_expansions_are_opened_pair_by_pair():
+    n = 40
+    grammar = repair.Grammar(10, np.array([1, *range(10, 9 + n)], np.uint32), np.array([2, *[3] * (n - 1)], np.uint32))
+    slow = repair.Grammar(10, grammar.left, grammar.right)
+    slow.__dict__["size"] = grammar.size * 1_000_000
+    assert slow.expand(np.array([9 + n, 4], np.uint32)).tolist() == grammar.expand(np.array([9 + n, 4], np.uint32)).tolist() == [1, 2, *[3] * (n - 1), 4]
+
+
+def test_repair_takes_clashing_columns(spark):
+    df = spark.createDataFrame([(2, "b", "x", 1), (1, None, "y", 2)], "doc_id long, text string, file string, start int")
+    assert rows(repair.round_trip(df).select("doc_id", "start", "n_tokens")) == [(1, 0, 1), (2, 1, 2)]
+
+
 def check_packing(got, df, tokenizer, window):
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
