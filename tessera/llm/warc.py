@@ -8,7 +8,9 @@ Of records with equal payloads (SHA-1, at least ``least_bytes`` long) the one of
 the smallest id is a ``response``, the others are ``revisit`` records that name it
 and hold the response's HTTP header only. A null payload counts as empty; a null
 id never takes part in deduplication; rows that repeat an id with its payload are
-all of the same kind.
+all of the same kind. A payload of any length is one record, in a frame of its own
+where it is longer than a frame. An empty table writes no bundle and gives no rows.
+Only the three named columns are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import files
-from tessera.llm.common import shared_path, staged
+from tessera.llm.common import shared_path, staged, tidy
 
+#: Most tasks that read bundles back; beyond them a task reads several in turn.
+READERS = 10_000
 _SEEK, _SKIP = 0x8F92EAB1, 0x184D2A5E
 
 
@@ -149,7 +153,7 @@ def write_bundles(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
             yield pa.RecordBatch.from_pydict({"page": pa.array([x[0] for x in index], pa.int64()), "file": [path] * len(index), "frame": pa.array([x[1] for x in index], pa.int64()), "offset": pa.array([x[2] for x in index], pa.int64()), "length": pa.array([x[3] for x in index], pa.int64())})
 
     joined = pages.join(known, ["page", "digest"], "left").select("page", "url", "payload", "digest", "refers_to")
-    return staged(joined.mapInArrow(run, "page long, file string, frame long, offset long, length long"), "warc-index")
+    return staged(joined.mapInArrow(tidy(run), "page long, file string, frame long, offset long, length long"), "warc-index")
 
 
 def _page(urn: str) -> int | None:
@@ -179,7 +183,9 @@ def read_bundles(index: DataFrame) -> DataFrame:
                 bundle.close()
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return index.select("file").distinct().mapInArrow(run, schema)
+    # A fixed number of tasks: the names are too few bytes for the planner to deal.
+    listed = staged(index.select("file").distinct(), "warc-files")
+    return listed.repartition(max(1, min(READERS, listed.count()))).mapInArrow(tidy(run), schema)
 
 
 def round_trip(df: DataFrame, **options) -> DataFrame:
