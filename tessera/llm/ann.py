@@ -13,13 +13,17 @@ share of it, so this errs to the safe side. All rows are indexed.
 
 The entries are dealt to slices of about ``slice_rows`` rows: runs of cells, with
 a cell that is larger than a slice dealt over several. A query goes to a slice
-only if it visits a cell there. Vectors that are null or zero, hold null or
-non-finite components, or differ from the commonest length take no part; nor do
-rows with a null id. Rows that repeat an id are separate candidates and one query.
+only if it visits a cell there. Vectors that are null or zero or hold null or
+non-finite components take no part; nor do rows with a null id. Vectors of different
+lengths have no inner product: each length is a search of its own. Rows that repeat
+an id are separate candidates and one query (of different vectors the one with the
+smallest hash). Ties go to the smaller id. An empty table gives no rows; only the id
+and the vector column are read besides what ``is_query`` names.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import staged, tidy
+
+
+#: Queries whose cells one task finds.
+ASKED = 256
 
 
 @dataclass(frozen=True)
@@ -149,14 +157,17 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     """``(query_id, rank, <id>, score)``: the ``k`` nearest found of each query."""
     s = settings or MultiIndex()
     empty = df.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    sizes = df.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).groupBy(F.size(vector_col).alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()
-    if sizes is None:
-        return empty
-    dim = sizes.d
+    lengths = [r.d for r in df.where(is_query & F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.size(vector_col).alias("d")).where("d > 0").distinct().orderBy("d").collect()]
+    found = [x for x in (_search(df, is_query, k, id_col, vector_col, s, d) for d in lengths) if x is not None]
+    return functools.reduce(DataFrame.unionByName, found) if found else empty
+
+
+def _search(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, s: MultiIndex, dim: int) -> DataFrame | None:
+    """The search among the vectors of one length."""
     rows = df.where(F.col(id_col).isNotNull() & usable(vector_col, dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("query"))
     n = rows.count()
     if not n:
-        return empty
+        return None
     place = F.xxhash64("id")
     part = rows.where((place % 1_000_003 + 1_000_003) % 1_000_003 < 1_000_003 * min(1.0, 1.1 * s.sample / n)).orderBy(place, "id").select("v").limit(s.sample).toArrow()
     x = _matrix(part.column("v").combine_chunks(), dim) if part.num_rows else np.zeros((0, dim))
@@ -171,7 +182,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(books.cells(_matrix(batch.column(1), dim)).astype(np.int64))], ["id", "v", "query", "cell"])
 
     kind = dict(rows.dtypes)["v"]
-    coded = staged(rows.mapInArrow(encode, f"id long, v {kind}, query boolean, cell long"), "ann-entries")
+    coded = staged(rows.mapInArrow(tidy(encode), f"id long, v {kind}, query boolean, cell long"), "ann-entries")
     counts = np.zeros(len(books.left) * width, np.int64)
     for r in coded.groupBy("cell").agg(F.count("*").alias("c")).collect():
         counts[r.cell] = r.c
@@ -263,8 +274,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["query_id", "id", "score"])
 
     layout = f"task long, kind tinyint, id long, v {kind}, cell long, reach double"
-    stored = coded.select("id", "v", "cell").mapInArrow(entries, layout)
-    asked = coded.where("query").select("id", "v").dropDuplicates(["id"]).mapInArrow(ask, layout)
-    found = stored.unionByName(asked).repartition("task").sortWithinPartitions("task", "kind").mapInArrow(rerank, "query_id long, id long, score double")
+    stored = coded.select("id", "v", "cell").mapInArrow(tidy(entries), layout)
+    asked = coded.where("query").groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v")).repartition(max(1, -(-n_queries // ASKED))).mapInArrow(tidy(ask), layout)
+    found = stored.unionByName(asked).repartition("task").sortWithinPartitions("task", "kind").mapInArrow(tidy(rerank), "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
