@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import vocab
-from tessera.llm.common import small_batches
+from tessera.llm.common import small_batches, tidy
 
 #: Characters of a leaf, and the first reach of a window to either side.
 LEAF, REACH = 4096, 48
@@ -172,4 +172,4 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, ranks_path: str | None,
             yield pa.RecordBatch.from_pydict({id_col: batch.column(id_col), "n_tokens": pa.array(n_tokens, pa.int64()), **more, "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(bytes_sha, pa.string())})
 
     middle = "ids binary, decoded binary, " if full else ""
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {middle}ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, {middle}ids_sha256 string, decoded_sha256 string")

@@ -30,7 +30,7 @@ def _suffixes(symbols: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.n
     rank, h = None, 4
     while True:
         done = np.sort((key << low) | place)
-        order = (done & np.uint64(MOST - 1)).astype(np.int64)
+        order = (done & np.uint64(MOST - 1)).astype(np.int32)
         value = done >> low
         step = np.zeros(n, np.uint64)
         step[1:] = value[1:] != value[:-1]
@@ -38,8 +38,8 @@ def _suffixes(symbols: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.n
         rank = np.empty(n, np.uint64)
         rank[order] = step
         if h > longest or int(step[-1]) == n - 1:
-            inverse = np.empty(n, np.int64)
-            inverse[order] = np.arange(n)
+            inverse = np.empty(n, np.int32)
+            inverse[order] = np.arange(n, dtype=np.int32)
             return order, inverse
         after = np.where(room >= h, rank[np.minimum(np.arange(n) + h, n - 1)] + np.uint64(1), np.uint64(0))
         key = (rank << low) | np.minimum(after, np.uint64(MOST - 1))
@@ -60,17 +60,18 @@ def repeated_starts(segments: list[np.ndarray], least: int) -> list[np.ndarray]:
     symbols[inner] = np.concatenate(segments).astype(np.uint64) + np.uint64(1)
     order, inverse = _suffixes(symbols, np.repeat(close, sizes), int(sizes.max()))
     before = order - 1
-    bwt = np.where(before >= 0, symbols[before], 0).astype(np.int64)
-    lf = np.where(bwt > 0, inverse[before], 0)
-    count = np.concatenate([[0], np.cumsum(np.bincount(symbols.astype(np.int64), minlength=257))])
+    bwt = np.where(before >= 0, symbols[before], 0).astype(np.int16)
+    lf = np.where(bwt > 0, inverse[before], np.int32(0))
+    count = np.concatenate([[0], np.cumsum(np.bincount(symbols.astype(np.int16), minlength=257))]).astype(np.int32)
     # The next and the previous place of the same byte in the transform.
     real = np.flatnonzero(bwt)
-    back = np.full(n + 1, -1, np.int64)
+    back = np.full(n + 1, -1, np.int32)
     back[lf[real]] = real
     up, down = lf + 1, lf - 1
-    nxt = np.where((up < count[bwt + 1]) & (bwt > 0), back[np.minimum(up, n)], n)
+    nxt = np.where((up < count[bwt + 1]) & (bwt > 0), back[np.minimum(up, n)], np.int32(n))
     nxt[nxt < 0] = n
-    prv = np.where((down >= count[bwt]) & (bwt > 0), back[np.maximum(down, 0)], -1)
+    prv = np.where((down >= count[bwt]) & (bwt > 0), back[np.maximum(down, 0)], np.int32(-1))
+    del up, down, back, before, inverse
     # Known from the start: the borders between end marks, and between first bytes.
     far = np.zeros(n + 1, bool)
     far[: len(segments) + 1] = True

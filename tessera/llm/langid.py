@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, strings
+from tessera.llm.common import small_batches, strings, tidy
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -217,7 +217,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 a, b, c = zip(*out, strict=True)
                 yield pa.RecordBatch.from_pydict({"place": pa.array(a, pa.int64()), "lang": pa.array(b, pa.string()), "piece": pa.array(c, pa.binary())})
 
-    rows = sample.mapInArrow(cut, "place long, lang string, piece binary").collect()
+    rows = sample.mapInArrow(tidy(cut), "place long, lang string, piece binary").collect()
     rows = sorted(rows)[: s.most_rows * s.pieces]
     langs = tuple(sorted({r.lang for r in rows}))
     if not langs:
@@ -248,4 +248,4 @@ def label(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
 
     chosen = df.select(*dict.fromkeys([*columns, text_col]))
     fields = ", ".join(f"`{c}` {k}" for c, k in df.select(*columns).dtypes)
-    return chosen.mapInArrow(run, f"{fields}, `{prefix}lang_pred` string, `{prefix}score` double")
+    return chosen.mapInArrow(tidy(run), f"{fields}, `{prefix}lang_pred` string, `{prefix}score` double")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Filter, mix, mixers, small_batches, staged, strings, word_hashes
+from tessera.llm.common import Filter, mix, mixers, small_batches, staged, strings, tidy, word_hashes
 from tessera.llm.graph import components
 
 
@@ -217,7 +217,7 @@ def profiles(df: DataFrame, forest: Forest) -> DataFrame:
                 bands.append(band.view(np.int64))
             yield pa.RecordBatch.from_pydict({"doc": batch.column(0), "th": batch.column(1), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "check": pa.array(check, pa.int64()), "small": pa.array(small, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return df.select("doc", "th", "text").mapInArrow(run, "doc long, th long, n long, node long, check long, small binary, bands array<long>")
+    return df.select("doc", "th", "text").mapInArrow(tidy(run), "doc long, th long, n long, node long, check long, small binary, bands array<long>")
 
 
 #: What a row of a task is: one of nodes that all are to be linked; or a node to ask,
@@ -287,7 +287,7 @@ def _fringe(hot: DataFrame, found: DataFrame, nodes: DataFrame, forest: Forest)
 
 def _within(members: DataFrame, nodes: DataFrame, run: Callable) -> DataFrame:
     full = members.join(nodes.select("node", "small"), "node")
-    return full.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
+    return full.repartition("region").sortWithinPartitions("region").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def settled(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
@@ -326,10 +326,10 @@ def settled(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, forest: Fore
             raw, offsets = strings(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zlib.compress(raw[a:b], 1) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc", "th", "packed"])
 
-    texts = docs.mapInArrow(pack, "doc long, th long, packed binary")
+    texts = docs.mapInArrow(tidy(pack), "doc long, th long, packed binary")
     source = texts.join(placed, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th"))).dropDuplicates(["node"])
-    full = staged(source.select("node", "root", "block", "packed").mapInArrow(sets, "node long, root long, block long, shingles binary"), "forest-sets")
-    task = lambda df: df.repartition("task").sortWithinPartitions("task").mapInArrow(settle, "a long, b long")
+    full = staged(source.select("node", "root", "block", "packed").mapInArrow(tidy(sets), "node long, root long, block long, shingles binary"), "forest-sets")
+    task = lambda df: df.repartition("task").sortWithinPartitions("task").mapInArrow(tidy(settle), "a long, b long")
     inside = full.select("node", F.xxhash64("root", "block").alias("task"), F.lit(INSIDE).alias("role"), "shingles")
     edges = staged(task(inside), "forest-links")
     large = placed.where("blocks > 1")

@@ -24,14 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import files, vocab
-from tessera.llm.common import mix, mixers, small_batches, staged
+from tessera.llm.common import mix, mixers, release, small_batches, staged, tidy
+
+
+#: Pieces of one batch of results.
+PIECES = 512
 
 
 @dataclass(frozen=True)
 class Packing:
     window: int = 2048
     end_id: int = 1
-    shard_tokens: int = 2_000_000
+    shard_tokens: int = 1_000_000
     terms: int = 24
     k1: float = 1.2
     b: float = 0.75
@@ -56,7 +60,7 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, p: Packing, ranks_path:
             rows = [np.concatenate([vocab.text_ids(t or "", ranks_path, special), end]).astype("<u2") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc": batch.column(0), "place": pa.array([_order_key(x) for x in rows], pa.int64()), "n": pa.array([len(x) for x in rows], pa.int64()), "ids": pa.array([x.tobytes() for x in rows], pa.binary())})
 
-    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, place long, n long, ids binary")
+    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc long, place long, n long, ids binary")
 
 
 def frequencies(rows: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -72,34 +76,36 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, int, float]:
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "c": pa.array(seen[at], pa.int64())})
 
     out = np.zeros(1 << 16, np.int64)
-    for r in rows.select("ids").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
+    for r in rows.select("ids").mapInArrow(tidy(run), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
         out[r.id] = r.c
     total = rows.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
     return out, total.n, total.mean or 1.0
 
 
 class Index:
-    """BM25 postings of one shard."""
+    """BM25 postings of one shard, in arrays of 32 bits: its documents' ids stand one
+    after the other in ``ids``."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, p: Packing):
-        sizes = np.array([len(x) for x in docs], np.int64)
-        both = np.repeat(np.arange(len(docs), dtype=np.uint64), sizes) << np.uint64(16) | np.concatenate(docs).astype(np.uint64)
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float, p: Packing):
+        n = len(sizes)
+        both = np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(16), sizes)
+        both |= ids
         both.sort()
-        fresh = np.ones(len(both), bool)
-        fresh[1:] = both[1:] != both[:-1]
-        at = np.flatnonzero(fresh)
+        at = np.flatnonzero(np.append(True, both[1:] != both[:-1])).astype(np.int32)
         tf = np.diff(np.append(at, len(both))).astype(np.float32)
-        doc, term = (both[at] >> np.uint64(16)).astype(np.int32), (both[at] & np.uint64(0xFFFF)).astype(np.int32)
-        self.weight = idf[term] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * sizes[doc].astype(np.float32) / mean))
-        self.bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
-        self.terms, self.n, self.top = term, len(docs), p.terms
-        order = np.argsort(term, kind="stable")
+        both = both[at]
+        doc, term = (both >> np.uint64(16)).astype(np.int32), (both & np.uint64(0xFFFF)).astype(np.uint16)
+        del both, at
+        self.weight = idf[term] * tf * np.float32(p.k1 + 1) / (tf + np.float32(p.k1) * (np.float32(1 - p.b) + (p.b * sizes / mean).astype(np.float32)[doc]))
+        self.bounds = np.searchsorted(doc, np.arange(n + 1))
+        self.terms, self.n, self.top = term, n, p.terms
+        order = np.argsort(term, kind="stable").astype(np.int32)
         self.doc, self.by_term = doc[order], self.weight[order]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=1 << 16))])
 
     def scores(self, seed: int) -> np.ndarray:
         lo, hi = self.bounds[seed], self.bounds[seed + 1]
-        own, w = self.terms[lo:hi], self.weight[lo:hi]
+        own, w = self.terms[lo:hi].astype(np.int64), self.weight[lo:hi]
         if len(own) > self.top:
             own = own[np.argpartition(-w, self.top)[: self.top]]
         a, n = self.start[own], self.start[own + 1] - self.start[own]
@@ -107,11 +113,11 @@ class Index:
         return np.bincount(self.doc[at], self.by_term[at], self.n)
 
 
-def fill(docs: list[np.ndarray], index: Index, window: int, used: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def fill(sizes: list[int], index: Index, window: int, used: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Pieces ``(document, start, length, windows since the first, offset)`` that lay
     out all documents, where the first window holds ``used`` tokens already; and
     the tokens of the last window."""
-    free = np.ones(len(docs), bool)
+    free = np.ones(len(sizes), bool)
     out: list[tuple[int, int, int, int, int]] = []
     number, following, seed, scores = 0, 0, None, None
     doc = None
@@ -123,9 +129,9 @@ def fill(docs: list[np.ndarray], index: Index, window: int, used: int) -> tuple[
                 best = int(scores.argmax())
                 doc = best if scores[best] > 0 else None
             if doc is None:
-                while following < len(docs) and not free[following]:
+                while following < len(sizes) and not free[following]:
                     following += 1
-                if following == len(docs):
+                if following == len(sizes):
                     return out, used
                 doc = following
             free[doc] = False
@@ -133,7 +139,7 @@ def fill(docs: list[np.ndarray], index: Index, window: int, used: int) -> tuple[
                 scores[doc] = -1.0
             if seed is None or not used:
                 seed, scores = doc, None
-        start, size = 0, len(docs[doc])
+        start, size = 0, sizes[doc]
         while start < size:
             n = min(size - start, window - used)
             out.append((doc, start, n, number, used))
@@ -160,37 +166,41 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", packing:
     idf[p.end_id] = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = files.partition()
-        first, used = part << 32, 0
-        names: list[int | None] = []
-        docs: list[np.ndarray] = []
-        held = 0
+        first, used = files.partition() << 32, 0
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        fields = ["doc", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-        def shard() -> pa.RecordBatch:
+        def shard(names: list[int | None], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal first, used
-            laid, used = fill(docs, Index(docs, idf, mean, p), p.window, used)
-            last = first
-            columns: list[list] = [[] for _ in range(8)]
-            for doc, start, length, number, offset in laid:
-                ids = docs[doc][start : start + length]
-                last = first + number
-                for c, x in zip(columns, (names[doc], start, length, ids.tobytes(), zlib.crc32(ids.astype("<u4").tobytes()), len(docs[doc]), last, offset), strict=True):
-                    c.append(x)
+            sizes = np.array([len(x) for x in parts], np.int64)
+            ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+            parts.clear()
+            laid, used = fill(sizes.tolist(), Index(ids, sizes, idf, mean, p), p.window, used)
+            last = first + laid[-1][3]
+            for at in range(0, len(laid), PIECES):
+                columns: list[list] = [[] for _ in kinds]
+                for doc, start, length, number, offset in laid[at : at + PIECES]:
+                    own = ids[bounds[doc] + start : bounds[doc] + start + length]
+                    for c, x in zip(columns, (names[doc], start, length, own.tobytes(), zlib.crc32(own.astype("<u4").tobytes()), int(sizes[doc]), first + number, offset), strict=True):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], fields)
             first = last + (used == 0)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        names: list[int | None] = []
+        parts: list[np.ndarray] = []
+        held = 0
+        for batch in small_batches(batches, "ids"):
             for name, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 names.append(name)
-                docs.append(np.frombuffer(ids, "<u2"))
-                held += len(docs[-1])
+                parts.append(np.frombuffer(ids, "<u2"))
+                held += len(parts[-1])
                 if held >= p.shard_tokens:
-                    yield shard()
-                    names, docs, held = [], [], 0
-        if docs:
-            yield shard()
+                    yield from shard(names, parts)
+                    names, parts, held = [], [], 0
+                    release()
+        if parts:
+            yield from shard(names, parts)
 
     order = [F.col("place"), F.col("doc").asc_nulls_first(), F.xxhash64("ids")]
-    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "ids").mapInArrow(run, "doc long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "ids").mapInArrow(tidy(run), "doc long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return laid.withColumnRenamed("doc", id_col)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import mix, mixers, small_batches, strings, word_hashes, word_runs
+from tessera.llm.common import mix, mixers, small_batches, strings, tidy, word_hashes, word_runs
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -148,4 +148,4 @@ def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()})
 
     schema = f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_failed_lines long, lost_chars long"
-    return df.select(id_col, text_col).mapInArrow(run, schema + (", clean_text string" if with_text else ""))
+    return df.select(id_col, text_col).mapInArrow(tidy(run), schema + (", clean_text string" if with_text else ""))

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bwt
-from tessera.llm.common import blocks, mix, mixers, small_batches, staged, strings
+from tessera.llm.common import blocks, mix, mixers, small_batches, staged, strings, tidy
 
 GRAM = 32
-_BLOCK = 2 << 20
+_BLOCK = 1 << 19
 _POS = 22
 
 
@@ -202,17 +202,17 @@ def repeats(docs: DataFrame, packed: DataFrame, least: int, most_pieces: int) ->
                 name = [int.from_bytes(hashlib.blake2b(raw[k : k + least], digest_size=8).digest(), "little", signed=True) for k in range(n)]
                 yield pa.RecordBatch.from_pydict({"doc": pa.array([doc] * n, pa.int64()), "th": pa.array([th] * n, pa.int64()), "p": pa.array(range(s, s + n), pa.int32()), "copies": pa.array([copies] * n, pa.int64()), "window": pa.array(name, pa.int64())})
 
-    twice = staged(long.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "substring-keys")
-    found = staged(long.select("doc", "th", "text").mapInArrow(full, "doc long, th long, s int, n int, key long, seg long").join(twice, "key", "left_semi"), "substring-pieces")
+    twice = staged(long.select("text").mapInArrow(tidy(keys), "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "substring-keys")
+    found = staged(long.select("doc", "th", "text").mapInArrow(tidy(full), "doc long, th long, s int, n int, key long, seg long").join(twice, "key", "left_semi"), "substring-pieces")
     same = staged(found.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "th", "s", "n")).alias("one")), "substring-content")
     mixed = same.groupBy("key").agg(F.count("*").alias("c"), F.min("copies").alias("least")).where("c > 1 AND least = 1").select("key", (F.col("c") > most_pieces).alias("many"))
     wanted = same.join(mixed, "key").groupBy("one.doc", "one.th").agg(F.collect_list(F.struct("key", "one.s", "one.n", "copies", "many")).alias("own"))
     wanted = wanted.withColumnsRenamed({"doc": "__doc", "th": "__th"})
     texts = packed.join(wanted, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th"))).select("doc", "th", "packed", "own").dropDuplicates(["doc", "th"])
-    taken = staged(texts.mapInArrow(fetch, "doc long, th long, key long, s int, n int, copies long, many boolean, bytes binary"), "substring-bytes")
+    taken = staged(texts.mapInArrow(tidy(fetch), "doc long, th long, key long, s int, n int, copies long, many boolean, bytes binary"), "substring-bytes")
     few = taken.where("NOT many").repartition("key").sortWithinPartitions("key")
-    ranges = few.mapInArrow(expand, "doc long, th long, lo int, hi int")
-    each = taken.where("many").mapInArrow(windows, "doc long, th long, p int, copies long, window long")
+    ranges = few.mapInArrow(tidy(expand), "doc long, th long, lo int, hi int")
+    each = taken.where("many").mapInArrow(tidy(windows), "doc long, th long, p int, copies long, window long")
     again = staged(each.groupBy("window").agg(F.sum("copies").alias("c")).where("c > 1").select("window"), "substring-windows")
     rest = each.where("copies = 1").join(again, "window", "left_semi").select("doc", "th", F.col("p").alias("lo"), (F.col("p") + 1).alias("hi"))
     counted = staged(same.where("copies > 1").select("key", "seg"), "substring-copies")
@@ -241,7 +241,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
             data = [packer.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc", "th", "void")), pa.array(data, pa.binary())], ["row", "doc", "th", "void", "packed"])
 
-    packed = base.mapInArrow(pack, f"row {kinds['row']}, doc long, th long, void boolean, packed binary")
+    packed = base.mapInArrow(tidy(pack), f"row {kinds['row']}, doc long, th long, void boolean, packed binary")
     found = repeats(docs, packed.select("doc", "th", "packed"), least, most_pieces).withColumnsRenamed({"doc": "__doc", "th": "__th"})
     joined = packed.join(found, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")), "left").select("row", "void", "packed", "ranges")
 
@@ -274,4 +274,4 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
                 yield pa.RecordBatch.from_pydict({c: fields[c] for c in columns} | more)
 
     schema = ", ".join(f"`{c}` {k}" for c, k in df.select(*columns).dtypes)
-    return joined.mapInArrow(finish, f"{schema}, `{prefix}n_bytes` long, `{prefix}n_removed` long, `{prefix}n_spans` long, `{prefix}kept_sha256` string")
+    return joined.mapInArrow(tidy(finish), f"{schema}, `{prefix}n_bytes` long, `{prefix}n_removed` long, `{prefix}n_spans` long, `{prefix}kept_sha256` string")
