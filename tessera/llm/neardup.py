@@ -2,14 +2,17 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes) and a MinHash
    signature. Texts with equal sets are one node of the graph from here on.
-2. The forest: ``trees`` orders of the signature. Nodes that share the first
-   ``depth`` values of an order form a region. A region of more than
-   ``region`` nodes is looked at deeper (more values of its order) until its parts
-   are small; parts that stay large at the last depth are dealt at random, anew
-   for each tree. Within a region, nodes whose signatures agree on ``loose`` or
-   more are joined to one another (one edge a node, never all pairs). That joins
-   most of a large region; the nodes outside its largest part are then compared
-   with the whole region, in blocks, so no region's size hides a candidate.
+2. The forest: ``trees`` orders of the signature, in each of which the nodes are
+   sorted by their values. Neighbours in a sorted order have the longest common
+   prefixes, and a region is a run of neighbours: where texts are sparse all that
+   share ``shallow`` values, where they are dense as many more values as it takes
+   to have ``region`` nodes at most. The runs are cut where the common prefix is
+   shortest (down), and small runs that a cut leaves stay with their neighbours
+   (up), so nothing falls out of an order. Within a region, nodes whose signatures
+   agree on ``loose`` or more are joined to one another (one edge a node, never all
+   pairs). Where more than ``region`` nodes share ``depth`` values, the nodes outside
+   the largest part so far are compared with all of them, in blocks, so no region's
+   size hides a candidate.
 3. Those edges only gather what may belong together. Each gathered cluster is then
    settled on the full sets: every node is compared exactly with all nodes that it
    isn't yet linked to, over an inverted index of the cluster, and the members of
@@ -19,7 +22,9 @@
 
 Empty texts and null texts have the empty set and link with nothing. A component
 is named by its smallest id; rows with a null id can be linked but never name one
-that has other ids. Repeated rows are copies of one another.
+that has other ids. Repeated rows are copies of one another. Texts of any length are
+one set. An empty table gives no rows. The table's other columns are carried by
+``deduplicated`` under names of their own and read by nothing.
 """
 
 from __future__ import annotations
@@ -48,10 +53,16 @@ class Forest:
     percent: int = 80
     trees: int = 32
     depth: int = 5
-    deeper: tuple[int, ...] = (3, 7, 15)
+    shallow: int = 4
+    values: int = 12
     region: int = 1000
     loose: float = 0.65
-    cluster_shingles: int = 2_000_000
+    cluster_shingles: int = 500_000
+
+    @property
+    def first(self) -> int:
+        """Values that a region shares at least."""
+        return min(self.shallow, self.depth)
 
 
 @functools.cache
@@ -192,11 +203,11 @@ def _edges(node: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
 def profiles(df: DataFrame, forest: Forest) -> DataFrame:
     """``(doc, th, n, node, check, small, bands)`` of each row of ``doc, th, text``;
     the node is a hash of the set (null if empty), ``small`` has a byte of each
-    signature value."""
+    signature value, ``bands`` the first values of each order."""
     size = forest.trees * forest.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = mixers(forest.depth + 1, 41)
+        m = mixers(forest.first + 1, 41)
         for batch in small_batches(batches, "text"):
             n, node, check, small, bands = [], [], [], [], []
             for s in shingle_sets(*strings(batch.column(2)), forest.words):
@@ -212,7 +223,7 @@ def profiles(df: DataFrame, forest: Forest) -> DataFrame:
                 small.append((sig >> np.uint32(11)).astype(np.uint8).tobytes())
                 with np.errstate(over="ignore"):
                     band = np.arange(forest.trees, dtype=np.uint64) * m[-1]
-                    for k, part in enumerate(sig.reshape(forest.trees, forest.depth).T):
+                    for k, part in enumerate(sig.reshape(forest.trees, forest.depth).T[: forest.first]):
                         band = mix(band + part.astype(np.uint64) * m[k])
                 bands.append(band.view(np.int64))
             yield pa.RecordBatch.from_pydict({"doc": batch.column(0), "th": batch.column(1), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "check": pa.array(check, pa.int64()), "small": pa.array(small, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
@@ -226,7 +237,9 @@ INSIDE, PROBE, HOST, TOP = 0, 1, 2, 3
 
 
 def gathered(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """Edges ``(a, b)`` between nodes of the forest's regions that look alike."""
+    """Edges ``(a, b)`` between nodes of the forest's regions that look alike. The
+    orders are sorted across all tasks (a large run of one prefix takes as many as it
+    needs; where one task ends and the next begins is one more cut)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches, "region"):
@@ -237,25 +250,81 @@ def gathered(nodes: DataFrame, forest: Forest) -> DataFrame:
             least = forest.loose * sig.shape[1]
             yield _edges(node, linked(len(node), lambda i, sig=sig, least=least: np.flatnonzero((sig == sig[i]).sum(1) >= least)))
 
-    members = nodes.select("node", F.posexplode("bands").alias("tree", "band"))
-    several = staged(members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "forest-regions")
-    rows = staged(members.join(several, "band"), "forest-members")
-    ready = rows.where(F.col("c") <= forest.region).select("node", F.col("band").alias("region"))
-    rest = hot = rows.where(F.col("c") > forest.region)
-    if not hot.limit(1).count():
-        return _within(ready, nodes, run)
-    for level in forest.deeper:
-        if not rest.limit(1).count():
-            break
-        values = F.concat("small", "small").substr(F.col("tree") * forest.depth + (1 + forest.depth), F.lit(level))
-        deep = staged(rest.select("node", "tree", "band").join(nodes.select("node", "small"), "node").select("node", "tree", "band", F.xxhash64("band", values).alias("region")), "forest-deeper")
-        count = staged(deep.groupBy("region").agg(F.count("*").alias("c")).where("c > 1"), "forest-counts")
-        deep = deep.join(count, "region")
-        ready = ready.unionByName(deep.where(F.col("c") <= forest.region).select("node", "region"))
-        rest = deep.where(F.col("c") > forest.region)
-    dealt = rest.select("node", F.xxhash64("region", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("c") / forest.region))).alias("region"))
-    found = components(_within(ready.unionByName(dealt), nodes, run), "forest-near")
-    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_fringe(hot, found, nodes, forest))
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole(batches, "band"):
+            band, node = part.column("band").to_numpy(), part.column("node").to_numpy()
+            region = band.copy()
+            edge = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+            size = np.diff(np.append(edge, len(band)))
+            for at, n in zip(edge[size > forest.region].tolist(), size[size > forest.region].tolist(), strict=True):
+                keys = np.frombuffer(b"".join(part.column("key").slice(at, n).to_pylist()), np.uint8).reshape(n, -1)
+                for lo, hi in depths(keys, forest.region):
+                    with np.errstate(over="ignore"):
+                        region[at + lo : at + hi] = mix(band[at : at + 1].view(np.uint64) + node[at + lo : at + lo + 1].view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node), "region": pa.array(region)})
+
+    values = F.concat("small", "small").substr(F.col("tree") * forest.depth + (1 + forest.first), F.lit(min(forest.values, forest.trees * forest.depth)))
+    members = nodes.select("node", "small", F.posexplode("bands").alias("tree", "band")).select("node", "band", values.alias("key"))
+    several = staged(members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band"), "forest-bands")
+    rows = staged(members.join(several, "band").select("node", "band", "key"), "forest-members")
+    # Equal prefixes stand in another order for each tree, so that where they have to be
+    # dealt to several regions, other trees deal them otherwise.
+    place = ["band", "key", F.xxhash64("node", "band")]
+    ready = rows.repartitionByRange(*place).sortWithinPartitions(*place).mapInArrow(tidy(regions), "node long, region long")
+    edges = _within(ready, nodes, run)
+    deep = rows.select("node", F.xxhash64("band", F.col("key").substr(1, forest.depth - forest.first)).alias("band"))
+    large = staged(deep.groupBy("band").agg(F.count("*").alias("c")).where(F.col("c") > forest.region), "forest-large")
+    if not large.limit(1).count():
+        return edges
+    found = components(edges, "forest-near")
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_fringe(staged(deep.join(large, "band"), "forest-deep"), found, nodes, forest))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end where the key changes; the input is sorted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.concat_batches(held)
+            held = []
+        if len(cuts):
+            yield pa.concat_batches([*held, batch.slice(0, int(cuts[-1]))])
+            held, batch = [], batch.slice(int(cuts[-1]))
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def depths(keys: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of at most ``most`` neighbours in sorted ``keys`` (a row of bytes each),
+    cut where the common prefix is shortest."""
+    differs = keys[1:] != keys[:-1]
+    common = np.where(differs.any(1), differs.argmax(1), keys.shape[1]) if keys.shape[1] else np.zeros(len(keys) - 1, int)
+
+    def runs(lo: int, hi: int) -> list[tuple[int, int]]:
+        if hi - lo <= most:
+            return [(lo, hi)]
+        inner = common[lo : hi - 1]
+        least = int(inner.min())
+        if least >= keys.shape[1]:
+            n = -(-(hi - lo) // most)
+            cuts = [lo + (hi - lo) * k // n for k in range(n + 1)]
+        else:
+            cuts = [lo, *(np.flatnonzero(inner == least) + lo + 1).tolist(), hi]
+        out: list[tuple[int, int]] = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for x, y in runs(a, b):
+                if out and y - out[-1][0] <= most:
+                    out[-1] = (out[-1][0], y)
+                else:
+                    out.append((x, y))
+        return out
+
+    return runs(0, len(keys))
 
 
 def _fringe(hot: DataFrame, found: DataFrame, nodes: DataFrame, forest: Forest) -> DataFrame:

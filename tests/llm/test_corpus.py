@@ -105,6 +105,36 @@ def test_near_duplicates_around_a_hot_region(spark):
     assert named(trees=32, region=100) == {d: c for d, (_, c) in want.items()}
 
 
+def test_near_duplicate_depths():
+    """Sorted runs: nothing falls out, none is too large, cuts are at the shortest prefixes."""
+    rng = np.random.default_rng(3)
+    for most in (2, 5, 40):
+        keys = np.sort(rng.integers(0, 3, (300, 6)).astype(np.uint8).view("V6").ravel()).view(np.uint8).reshape(300, 6)
+        keys = keys[np.lexsort(keys.T[::-1])]
+        runs = neardup.depths(keys, most)
+        assert [k for lo, hi in runs for k in range(lo, hi)] == list(range(300)) and max(hi - lo for lo, hi in runs) <= most
+    keys = np.array([[0, 0], [0, 0], [0, 1], [2, 0], [2, 0], [3, 3]], np.uint8)
+    assert neardup.depths(keys, 3) == [(0, 3), (3, 6)] and neardup.depths(keys, 6) == [(0, 6)]
+    assert neardup.depths(np.zeros((5, 4), np.uint8), 2) == [(0, 1), (1, 3), (3, 5)]
+
+
+def test_near_duplicate_links_of_dense_texts(spark):
+    """Recall of single links where regions stay large at their deepest: texts on one
+    template whose only close partner is one other text."""
+    rng, texts = random.Random(41), {}
+    base = [f"b{k}" for k in range(300)]
+    for pair in range(150):
+        one = [f"p{pair}x{k}" if rng.random() < 0.22 else w for k, w in enumerate(base)]
+        texts[2 * pair + 1] = one
+        texts[2 * pair + 2] = [f"q{pair}x{k}" if k % 21 == 3 else w for k, w in enumerate(one)]
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    want = {d: c for d, (_, c) in brute_components(texts).items()}
+    assert len(set(want.values())) == 150
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in neardup.digests(df, neardup.Forest(region=20)).collect()}
+    assert sum(got[d] == c for d, c in want.items()) == len(want)
+
+
 def test_near_duplicate_probes_are_asked():
     """Probes that link with one another may still lead to hosts of the block."""
     links = {0: [0, 1], 1: [0, 1, 2], 2: [1, 2], 3: [3], 4: [4, 5], 5: [4, 5]}
