@@ -1,7 +1,7 @@
 """The registered queries of the ten training-data operators.
 
 Each takes ``(spark, sf_dir)``, applies its operator with production parameters
-to its whole table and returns the full result. Their SQL is in ``ORACLES``.
+to its whole table and returns the full result. Their SQL is in ``oracles``.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import ann, bpe, langid, neardup, packing, pii, quality, repair, substring, warc
 from tessera.llm.common import documents
+from tessera.llm.oracles import ORACLES as ORACLES
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +80,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neardup": op9_neardup,
     "op10_substring": op10_substring,
 }
-
-ORACLES: dict[str, str] = {}
