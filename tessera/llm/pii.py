@@ -2,22 +2,27 @@
 
 Base spans are the matches of four patterns (leftmost, non-overlapping for each
 kind, failing matches dropped). They are the protected entities. The corpus then
-tells how strongly a term reveals one of them: with document frequencies over all
-documents, ``PMI(term, entity) / IC(entity)`` is 1 where the term never occurs
-without the entity and 0 where the two are independent. A term near an entity
-(``window`` words to either side) whose share passes ``remove`` is removed from
-the documents that hold the entity; from ``generalise`` on it is replaced by a
-placeholder. Near copies of one document repeat one context and prove nothing, so
-a pair also needs ``least_contexts`` different neighbour pairs. That is a number of
-its own, so copies added to the corpus never cancel what other documents show.
+tells how strongly a term reveals one of them, and also the broader class that its
+value belongs to (the domain of an address, the first half of an IP, the issuer of a
+card, the first digits of a number), so that rare values don't silence the estimate:
+with document frequencies over all documents, ``PMI(term, entity) / IC(entity)`` is 1
+where the term never occurs without the entity and 0 where the two are independent.
+A term near an entity (``window`` words to either side) whose share passes
+``remove`` is removed from the documents that hold the entity; from ``generalise`` on
+it is replaced by the class of its shape (``[NAME]``, ``[CODE]``, ``[WORD]``), which
+many more terms share. A pair counts from ``least_texts`` different texts on: exact
+copies are one text, and as the number is one of its own, copies added to the corpus
+never cancel what other documents show.
 
 The patterns are written so that Java's engine neither backtracks nor recurses
 (possessive loops, starts only where a run starts), which keeps them linear in
 the length of the text; positions come from the lengths of the pieces between the
 matches, summed in blocks. They count code points.
 
-Null texts count as empty. Rows with a null id get base spans only. Repeated rows
-each get the same result.
+Null texts count as empty and have no span. Rows with a null id get base spans only.
+Repeated rows each get the same result. Of terms with several entities the largest
+share decides. Texts of any length are read whole. An empty table gives no rows.
+Columns that are added for the work start with ``__`` and are dropped again.
 """
 
 from __future__ import annotations
@@ -52,7 +57,7 @@ class Disclosure:
     reach: int = 240
     remove: float = 0.95
     generalise: float = 0.85
-    least_contexts: int = 3
+    least_texts: int = 3
     least_letters: int = 3
 
 
@@ -113,21 +118,35 @@ def _terms_of(sql: str) -> str:
     return f'regexp_extract_all(lower({sql}), r"{_TERM}", 0)'
 
 
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+#: SQL for the broader class of a value, by kind.
+_BROADER = {
+    "email": "substring_index(lower(s.value), '@', -1)",
+    "ip": "substring_index(s.value, '.', 2)",
+    "card": "substring(regexp_replace(s.value, '[^0-9]', ''), 1, 6)",
+    "phone": "substring(regexp_replace(s.value, '[^0-9]', ''), 1, 4)",
+}
+
+
 def scanned(df: DataFrame, rules: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, th, email, ip, card, phone)`` of each row, written once: the base
-    spans, each with its entity, the neighbours' hash and the terms around it. The
+    spans, each with its entity, the entity's class and the terms around it. The
     later steps read this table and not the texts."""
-    found = df.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(_name(text_col)), F.lit(""))
+    found = df.select(F.col(_name(id_col)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     for k, v in base_spans(F.col("text")).items():
         found = found.withColumn(f"found_{k}", v)
 
     def around(kind: str) -> Column:
         left = _terms_of(f"substring(text, greatest(s.start - {rules.reach}, 0) + 1, s.start - greatest(s.start - {rules.reach}, 0))")
         right = _terms_of(f"substring(text, s.end + 1, {rules.reach})")
-        return F.expr(f"""transform(found_{kind}, s -> named_struct('start', s.start, 'end', s.end, 'entity', concat('{kind}:', lower(s.value)), 'l', {left}, 'r', {right}))""")
+        return F.expr(f"""transform(found_{kind}, s -> named_struct('start', s.start, 'end', s.end, 'entities', array(concat('{kind}:', lower(s.value)), concat('{kind} of ', {_BROADER[kind]})), 'l', {left}, 'r', {right}))""")
 
     cut = lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), F.xxhash64(F.try_element_at(s["l"], F.lit(-1)), F.try_element_at(s["r"], F.lit(1))).alias("ctx"),
+        s["start"].alias("start"), s["end"].alias("end"), s["entities"].alias("entities"),
         F.array_distinct(F.concat(F.slice(F.reverse(s["l"]), 1, rules.window), F.slice(s["r"], 1, rules.window))).alias("terms"),
     )
     return staged(found.select("doc", "th", *(F.transform(around(k), cut).alias(k) for k in KINDS)), "pii-spans")
@@ -138,10 +157,10 @@ def disclosing_terms(df: DataFrame, scan: DataFrame, rules: Disclosure, text_col
 
     Texts without an entity only add to the document frequencies. Counts are
     combined before each shuffle, so a common entity or term is a few rows there."""
-    hits = scan.where(F.col("doc").isNotNull()).select("doc", F.explode(F.concat(*KINDS)).alias("s"))
-    near = hits.select("doc", "s.entity", "s.ctx", F.explode("s.terms").alias("term")).where(F.length("term") >= rules.least_letters)
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_te"), F.count_distinct("ctx").alias("n_ctx"))
-    pairs = pairs.where(F.col("n_ctx") >= rules.least_contexts)
+    hits = scan.where(F.col("doc").isNotNull()).select("doc", "th", F.explode(F.concat(*KINDS)).alias("s"))
+    near = hits.select("doc", "th", "s.terms", F.explode("s.entities").alias("entity")).select("doc", "th", "entity", F.explode("terms").alias("term")).where(F.length("term") >= rules.least_letters)
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_te"), F.count_distinct("th").alias("texts"))
+    pairs = pairs.where(F.col("texts") >= rules.least_texts)
     entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_e"))
     # The documents with the term near any entity bound its frequency from below;
     # a pair that can't pass with this bound needs no count over the corpus.
@@ -149,7 +168,7 @@ def disclosing_terms(df: DataFrame, scan: DataFrame, rules: Disclosure, text_col
     n = df.count()
     most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - rules.generalise)) * 1.000001
     pairs = staged(pairs.join(entities, "entity").where(F.col("n_e") < n).join(about, "term").where(F.col("n_near") <= most).drop("n_near"), "pii-pairs")
-    words = df.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
+    words = df.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(_name(text_col)), F.lit(""))))).alias("term"))
     freq = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
     return pairs.join(freq, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= rules.generalise)
@@ -159,22 +178,23 @@ def term_spans(df: DataFrame, scan: DataFrame, rules: Disclosure, id_col: str =
     """``(doc, th, terms)``: spans of the disclosing terms in the documents that
     hold their entity. Written once, so a join with it is planned by its size."""
     found = staged(disclosing_terms(df, scan, rules, text_col), "pii-terms")
-    holds = scan.where(F.col("doc").isNotNull()).select("doc", F.explode(F.concat(*KINDS)).alias("s")).select("doc", "s.entity").distinct()
+    holds = scan.where(F.col("doc").isNotNull()).select("doc", F.explode(F.concat(*KINDS)).alias("s")).select("doc", F.explode("s.entities").alias("entity")).distinct()
     own = holds.join(found, "entity").groupBy("doc", "term").agg(F.max("share").alias("share")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("own"))
-    rows = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(staged(own, "pii-own"), "doc")
+    rows = df.select(F.col(_name(id_col)).alias("doc"), F.coalesce(F.col(_name(text_col)), F.lit("")).alias("text")).join(staged(own, "pii-own"), "doc")
     hit = _located(F.col("text"), rf"(?iu){_TERM}", None, lambda m: F.map_contains_key(F.col("own"), F.lower(m["value"])))
     share = lambda s: F.try_element_at(F.col("own"), F.lower(s["value"]))
-    marked = F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (share(s) >= rules.remove).alias("gone")))
+    shape = lambda s: F.when(share(s) >= rules.remove, "").when(s["value"].rlike(r"\p{N}"), "[CODE]").when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    marked = F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), shape(s).alias("label")))
     return staged(rows.select("doc", F.xxhash64("text").alias("th"), marked.alias("terms")).distinct(), "pii-term-spans")
 
 
-_NONE = "array<struct<start:int,end:int,gone:boolean>>"
+_NONE = "array<struct<start:int,end:int,label:string>>"
 
 
 def digests(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, the digest of the base spans, and all spans as text."""
     rules = rules or Disclosure()
-    df = df.select(id_col, text_col)
+    df = df.select(_name(id_col), _name(text_col))
     scan = scanned(df, rules, id_col, text_col)
     found = scan.join(term_spans(df, scan, rules, id_col, text_col), ["doc", "th"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(_NONE)))
     said = F.concat(*(_said(F.col(k), k) for k in KINDS))
@@ -186,24 +206,24 @@ def digests(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_i
 
 def find(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's columns with ``__email``, ``__ip``, ``__card``, ``__phone`` (arrays
-    of ``start, end, value``) and ``__terms`` (of ``start, end, gone``)."""
+    of ``start, end, value``) and ``__terms`` (of ``start, end, label``)."""
     rules = rules or Disclosure()
-    own = {f"__{k}": v for k, v in base_spans(F.col(text_col)).items()}
+    own = {f"__{k}": v for k, v in base_spans(F.col(_name(text_col))).items()}
     more = term_spans(df, scanned(df, rules, id_col, text_col), rules, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("terms").alias("__terms"))
-    out = df.withColumns(own).withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.join(more, (F.col(id_col) == F.col("__doc")) & (F.col("__own") == F.col("__th")), "left")
+    out = df.withColumns(own).withColumn("__own", F.xxhash64(F.coalesce(F.col(_name(text_col)), F.lit(""))))
+    out = out.join(more, (F.col(_name(id_col)) == F.col("__doc")) & (F.col("__own") == F.col("__th")), "left")
     return out.withColumn("__terms", F.coalesce("__terms", F.array().cast(_NONE))).drop("__doc", "__th", "__own")
 
 
 def sanitised(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with spans replaced in the text: ``[EMAIL]`` and so on, ``[TERM]``
-    for generalised terms, nothing for removed ones. Where spans overlap, their
+    """The rows with spans replaced in the text: ``[EMAIL]`` and so on, the class of
+    a generalised term, nothing for a removed one. Where spans overlap, their
     union gets the label of the first. A null text stays null."""
     found = find(df, rules, id_col, text_col)
     kind = "array<struct<start:int,end:int,label:string>>"
     label = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("label"))
     labelled = [F.transform(F.col(f"__{k}"), label(k)) for k in KINDS]
-    labelled.append(F.transform("__terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["gone"], "").otherwise("[TERM]").alias("label"))))
+    labelled.append(F.col("__terms"))
     spans = F.array_sort(F.concat(*labelled))
     merged = F.aggregate(
         spans,
@@ -211,7 +231,7 @@ def sanitised(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc
         lambda a, s: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"), F.try_element_at(a, F.lit(-1))["label"].alias("label"))))).otherwise(F.concat(a, F.array(s))),
     )
     out = found.withColumn("__all", merged)
-    pieces = F.expr(f"transform(__all, (s, k) -> concat(substring({text_col}, (CASE WHEN k = 0 THEN 0 ELSE __all[k - 1].end END) + 1, s.start - (CASE WHEN k = 0 THEN 0 ELSE __all[k - 1].end END)), s.label))")
-    tail = F.expr(f"substring({text_col}, __all[size(__all) - 1].end + 1)")
-    out = out.withColumn(text_col, F.when(F.size("__all") == 0, F.col(text_col)).otherwise(F.concat(F.array_join(pieces, ""), tail)))
+    pieces = F.expr(f"transform(__all, (s, k) -> concat(substring({_name(text_col)}, (CASE WHEN k = 0 THEN 0 ELSE __all[k - 1].end END) + 1, s.start - (CASE WHEN k = 0 THEN 0 ELSE __all[k - 1].end END)), s.label))")
+    tail = F.expr(f"substring({_name(text_col)}, __all[size(__all) - 1].end + 1)")
+    out = out.withColumn(text_col, F.when(F.size("__all") == 0, F.col(_name(text_col))).otherwise(F.concat(F.array_join(pieces, ""), tail)))
     return out.drop("__all", "__terms", *(f"__{k}" for k in KINDS))

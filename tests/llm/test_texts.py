@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+from pyspark.sql import functions as F
 from tests.llm.conftest import LONG, ODD, rows
 from tokenizers import Tokenizer
 
@@ -295,6 +298,69 @@ def test_pii_copies_cancel_no_term(spark):
     assert all(got[k] == 0 for k in range(12, 400))
 
 
+TERM = regex.compile(r"\p{L}[\p{L}\p{N}_'’-]*+")
+BROADER = {"email": lambda v: v.lower().rpartition("@")[2], "ip": lambda v: ".".join(v.split(".")[:2]), "card": lambda v: re.sub("[^0-9]", "", v)[:6], "phone": lambda v: re.sub("[^0-9]", "", v)[:4]}
+
+
+def brute_terms(texts, window=8, reach=240, remove=0.95, generalise=0.85, least=3, letters=3):
+    """Spans of the disclosing terms by plain counting, and whether each is removed."""
+    near, holds = collections.defaultdict(set), collections.defaultdict(set)
+    for d, t in texts.items():
+        for kind, found in spans(t).items():
+            for a, b in found:
+                left, right = TERM.findall(t[max(a - reach, 0) : a].lower()), TERM.findall(t[b : b + reach].lower())
+                for e in (f"{kind}:{t[a:b].lower()}", f"{kind} of {BROADER[kind](t[a:b])}"):
+                    holds[d].add(e)
+                    for w in {*left[-window:], *right[:window]}:
+                        if len(w) >= letters:
+                            near[e, w].add(d)
+    n, with_term, with_entity = len(texts), collections.Counter(), collections.Counter()
+    for t in texts.values():
+        with_term.update(set(TERM.findall((t or "").lower())))
+    for e in {e for e, _ in near}:
+        with_entity[e] = len({d for (x, _), own in near.items() if x == e for d in own})
+    share = {}
+    for (e, w), own in near.items():
+        if len({texts[d] for d in own}) >= least and with_entity[e] < n:
+            x = math.log(n * len(own) / (with_term[w] * with_entity[e])) / math.log(n / with_entity[e])
+            if x >= generalise:
+                share[e, w] = x
+    out = {}
+    for d, t in texts.items():
+        best = collections.defaultdict(float)
+        for (e, w), x in share.items():
+            if e in holds[d]:
+                best[w] = max(best[w], x)
+        out[d] = [(m.start(), m.end()) for m in TERM.finditer(t or "") if m[0].lower() in best]
+    return out
+
+
+def test_pii_terms_are_those_of_plain_counting(spark):
+    """Over the test documents and planted ones, by value and by class of entity."""
+    rng, texts = random.Random(17), {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(7))
+    for k in range(8):
+        texts[100_000 + k] = f"{word()} call Quuxine {word()} +1 (555) 010-{1000 + k} {word()} zorbo jane@corp.example {word()}"
+        texts[100_100 + k] = f"{word()} mail plugh {word()} {word()}{k}@rare.example {word()} {'plugh' if k < 4 else word()}"
+    texts |= {100_200 + k: f"{word()} plugh {word()}" for k in range(2)} | {100_300 + k: texts[100_000] for k in range(9)}
+    want = brute_terms(texts)
+    got = {r.doc_id: r for r in pii.digests(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    for d, t in texts.items():
+        said = [x.split(":")[1:] for x in got[d].spans.split(",") if x.startswith("term:")]
+        assert [(int(a), int(b)) for a, b in said] == want[d], (d, t)
+    assert sum(map(bool, want.values())) >= 16
+    near_copies = [d for d in want if d < 100_000 and want[d]]
+    assert all(spans(texts[d]) != {k: [] for k in BROADER} for d in near_copies)
+
+
+def test_pii_generalises_by_shape_and_quotes_names(spark):
+    rules = pii.Disclosure(remove=1.1)
+    df = spark.createDataFrame(disclosing(), "`an id` long, `my text` string").withColumn("my text", F.regexp_replace("my text", "zorbo", "Zorbo"))
+    clean = {r[0]: r[1] for r in pii.sanitised(df, rules, "an id", "my text").collect()}
+    assert all("[NAME]" in clean[k] and "[EMAIL]" in clean[k] and "Zorbo" not in clean[k] for k in range(12))
+    assert pii.digests(df, rules, "an id", "my text").where("n_term > 0").count() == 12
+
+
 def test_pii_is_native(docs):
     plan = pii.digests(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
