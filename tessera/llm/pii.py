@@ -8,11 +8,13 @@ card, the first digits of a number), so that rare values don't silence the estim
 with document frequencies over all documents, ``PMI(term, entity) / IC(entity)`` is 1
 where the term never occurs without the entity and 0 where the two are independent.
 A term near an entity (``window`` words to either side) whose share passes
-``remove`` is removed from the documents that hold the entity; from ``generalise`` on
-it is replaced by the class of its shape (``[NAME]``, ``[CODE]``, ``[WORD]``), which
-many more terms share. A pair counts from ``least_texts`` different texts on: exact
-copies are one text, and as the number is one of its own, copies added to the corpus
-never cancel what other documents show.
+``generalise`` is replaced in the documents that hold the entity by the class of its
+shape (``[NAME]``, ``[CODE]``, ``[WORD]``), which many more terms share. That holds
+for a rare name beside one number as well: it points to that document and thereby to
+the number. A term is removed from ``remove`` on, where at least ``least_texts``
+different texts show it; one text may be chance, and exact copies are one text. As
+that number is one of its own, copies added to the corpus never cancel what other
+documents show.
 
 The patterns are written so that Java's engine neither backtracks nor recurses
 (possessive loops, starts only where a run starts), which keeps them linear in
@@ -20,8 +22,8 @@ the length of the text; positions come from the lengths of the pieces between th
 matches, summed in blocks. They count code points.
 
 Null texts count as empty and have no span. Rows with a null id get base spans only.
-Repeated rows each get the same result. Of terms with several entities the largest
-share decides. Texts of any length are read whole. An empty table gives no rows.
+Repeated rows each get the same result. Of terms with several entities the strongest
+one decides. Texts of any length are read whole. An empty table gives no rows.
 Columns that are added for the work start with ``__`` and are dropped again.
 """
 
@@ -153,14 +155,13 @@ def scanned(df: DataFrame, rules: Disclosure, id_col: str = "doc_id", text_col:
 
 
 def disclosing_terms(df: DataFrame, scan: DataFrame, rules: Disclosure, text_col: str = "text") -> DataFrame:
-    """``(entity, term, share)`` of the pairs beyond ``rules.generalise``.
+    """``(entity, term, texts, share)`` of the pairs beyond ``rules.generalise``.
 
     Texts without an entity only add to the document frequencies. Counts are
     combined before each shuffle, so a common entity or term is a few rows there."""
     hits = scan.where(F.col("doc").isNotNull()).select("doc", "th", F.explode(F.concat(*KINDS)).alias("s"))
     near = hits.select("doc", "th", "s.terms", F.explode("s.entities").alias("entity")).select("doc", "th", "entity", F.explode("terms").alias("term")).where(F.length("term") >= rules.least_letters)
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_te"), F.count_distinct("th").alias("texts"))
-    pairs = pairs.where(F.col("texts") >= rules.least_texts)
     entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_e"))
     # The documents with the term near any entity bound its frequency from below;
     # a pair that can't pass with this bound needs no count over the corpus.
@@ -171,7 +172,7 @@ def disclosing_terms(df: DataFrame, scan: DataFrame, rules: Disclosure, text_col
     words = df.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(_name(text_col)), F.lit(""))))).alias("term"))
     freq = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
-    return pairs.join(freq, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= rules.generalise)
+    return pairs.join(freq, "term").select("entity", "term", "texts", share.alias("share")).where(F.col("share") >= rules.generalise)
 
 
 def term_spans(df: DataFrame, scan: DataFrame, rules: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,11 +180,11 @@ def term_spans(df: DataFrame, scan: DataFrame, rules: Disclosure, id_col: str =
     hold their entity. Written once, so a join with it is planned by its size."""
     found = staged(disclosing_terms(df, scan, rules, text_col), "pii-terms")
     holds = scan.where(F.col("doc").isNotNull()).select("doc", F.explode(F.concat(*KINDS)).alias("s")).select("doc", F.explode("s.entities").alias("entity")).distinct()
-    own = holds.join(found, "entity").groupBy("doc", "term").agg(F.max("share").alias("share")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("own"))
+    gone = (F.col("share") >= rules.remove) & (F.col("texts") >= rules.least_texts)
+    own = holds.join(found, "entity").groupBy("doc", "term").agg(F.max(gone).alias("gone")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("own"))
     rows = df.select(F.col(_name(id_col)).alias("doc"), F.coalesce(F.col(_name(text_col)), F.lit("")).alias("text")).join(staged(own, "pii-own"), "doc")
     hit = _located(F.col("text"), rf"(?iu){_TERM}", None, lambda m: F.map_contains_key(F.col("own"), F.lower(m["value"])))
-    share = lambda s: F.try_element_at(F.col("own"), F.lower(s["value"]))
-    shape = lambda s: F.when(share(s) >= rules.remove, "").when(s["value"].rlike(r"\p{N}"), "[CODE]").when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    shape = lambda s: F.when(F.try_element_at(F.col("own"), F.lower(s["value"])), "").when(s["value"].rlike(r"\p{N}"), "[CODE]").when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
     marked = F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), shape(s).alias("label")))
     return staged(rows.select("doc", F.xxhash64("text").alias("th"), marked.alias("terms")).distinct(), "pii-term-spans")
 

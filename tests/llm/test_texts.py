@@ -319,19 +319,19 @@ def brute_terms(texts, window=8, reach=240, remove=0.95, generalise=0.85, least=
         with_term.update(set(TERM.findall((t or "").lower())))
     for e in {e for e, _ in near}:
         with_entity[e] = len({d for (x, _), own in near.items() if x == e for d in own})
-    share = {}
+    found = {}
     for (e, w), own in near.items():
-        if len({texts[d] for d in own}) >= least and with_entity[e] < n:
+        if with_entity[e] < n:
             x = math.log(n * len(own) / (with_term[w] * with_entity[e])) / math.log(n / with_entity[e])
             if x >= generalise:
-                share[e, w] = x
+                found[e, w] = x >= remove and len({texts[d] for d in own}) >= least
     out = {}
     for d, t in texts.items():
-        best = collections.defaultdict(float)
-        for (e, w), x in share.items():
+        gone = collections.defaultdict(bool)
+        for (e, w), x in found.items() if holds[d] else ():
             if e in holds[d]:
-                best[w] = max(best[w], x)
-        out[d] = [(m.start(), m.end()) for m in TERM.finditer(t or "") if m[0].lower() in best]
+                gone[w] |= x
+        out[d] = [(m.start(), m.end(), gone[m[0].lower()]) for m in TERM.finditer(t or "") if m[0].lower() in gone]
     return out
 
 
@@ -344,13 +344,17 @@ def test_pii_terms_are_those_of_plain_counting(spark):
         texts[100_100 + k] = f"{word()} mail plugh {word()} {word()}{k}@rare.example {word()} {'plugh' if k < 4 else word()}"
     texts |= {100_200 + k: f"{word()} plugh {word()}" for k in range(2)} | {100_300 + k: texts[100_000] for k in range(9)}
     want = brute_terms(texts)
-    got = {r.doc_id: r for r in pii.digests(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in pii.digests(df).collect()}
+    marked = {r.doc_id: [(s.start, s.end, s.label == "") for s in r["__terms"]] for r in pii.find(df).collect()}
     for d, t in texts.items():
         said = [x.split(":")[1:] for x in got[d].spans.split(",") if x.startswith("term:")]
-        assert [(int(a), int(b)) for a, b in said] == want[d], (d, t)
-    assert sum(map(bool, want.values())) >= 16
-    near_copies = [d for d in want if d < 100_000 and want[d]]
-    assert all(spans(texts[d]) != {k: [] for k in BROADER} for d in near_copies)
+        assert [(int(a), int(b)) for a, b in said] == [x[:2] for x in want[d]], (d, t)
+        assert marked[d] == want[d], (d, t)
+        assert not want[d] or any(spans(t).values())
+    assert sum(map(bool, want.values())) > 60 and sum(x[2] for own in want.values() for x in own) >= 24
+    gone = {texts[d][a:b].lower() for d, own in want.items() for a, b, x in own if x}
+    assert {"quuxine", "zorbo"} <= gone
 
 
 def test_pii_generalises_by_shape_and_quotes_names(spark):
