@@ -176,3 +176,17 @@ def clamped_array(items: Column, most: int) -> Column:
     sizes = F.transform(items, lambda x: F.octet_length(x) + 3)
     running = F.aggregate(sizes, F.struct(F.lit(1).alias("sum"), F.lit(0).alias("n")), lambda a, s: F.struct((a["sum"] + s).alias("sum"), (a["n"] + F.when(a["sum"] + s <= most, 1).otherwise(0)).alias("n")), lambda a: a["n"])
     return F.slice(items, 1, running)
+
+
+def prefixed_id(prefix: str, payload: Column) -> Column:
+    """A prefix and a UUID made of the payload, so that a record written again keeps its
+    id."""
+    h = F.md5(F.concat(F.lit(f"{prefix}:"), payload))
+    return F.concat(F.lit(f"{prefix}_"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
+
+
+def progress_percent(phase: Column, done: Column, total: Column) -> Column:
+    """0 when an index run is asked for, 5 when its files are listed, then 10 to 100 with
+    the files done."""
+    part = F.when(total <= 0, F.lit(100)).otherwise(F.least(F.lit(100), 10 + F.floor(90 * done / total)))
+    return F.when(phase == "asked", 0).when(phase == "listed", 5).otherwise(part).cast("long")

@@ -47,3 +47,31 @@ def hit_files(log: Column, root: str) -> Column:
     done = F.regexp_extract_all(log, F.lit(r"(?m)^Successfully modified file: (.+?)\s*$"), F.lit(1))
     calls = F.regexp_extract_all(log, F.lit(r"""file_path=['"]([^'"]+)['"]"""), F.lit(1))
     return F.array_distinct(F.transform(F.concat(done, calls), lambda p: relative_to(p, F.lit(root))))
+
+
+_TEXT = r"'((?:[^'\\]|\\.)*)'"
+
+
+def edit_triples(log: Column) -> Column:
+    """``array<struct<file_path,old_string,new_string>>`` of the edit calls of a log, whose
+    arguments may span lines; a call without both strings is none."""
+    call = rf"(?s)Arguments:[^\n]*?'file_path': {_TEXT}[^}}]*?'old_string': {_TEXT}[^}}]*?'new_string': {_TEXT}"
+    part = lambda k: F.transform(F.regexp_extract_all(log, F.lit(call), F.lit(k)), lambda s: F.replace(F.replace(F.replace(s, F.lit("\\n"), F.lit("\n")), F.lit("\\'"), F.lit("'")), F.lit("\\\\"), F.lit("\\")))
+    rows = F.arrays_zip(part(1).alias("file_path"), part(2).alias("old_string"), part(3).alias("new_string"))
+    return F.transform(rows, lambda r: F.struct(r["file_path"].alias("file_path"), r["old_string"].alias("old_string"), r["new_string"].alias("new_string")))
+
+
+def unified_diffs(edits: DataFrame, key: str, context: int = 3) -> DataFrame:
+    """``(key, diff)`` of rows ``(key, file_path, old_string, new_string)``."""
+    import difflib
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, old, new in zip(*(batch.column(c).to_pylist() for c in ("file_path", "old_string", "new_string")), strict=True):
+                out.append("\n".join(difflib.unified_diff((old or "").splitlines(), (new or "").splitlines(), f"a/{path}", f"b/{path}", n=context, lineterm="")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, "diff"])
+
+    return edits.select(key, "file_path", "old_string", "new_string").mapInArrow(run, f"{key} {dict(edits.dtypes)[key]}, diff string")

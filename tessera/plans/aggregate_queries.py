@@ -63,20 +63,35 @@ def role_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.histogram(table(spark, sf_dir, "conversations"), "conv_id", "role")
 
 
-@register("oracle_files", """SELECT o_orderkey, 'a' || o_orderkey % 7 || '.py,lib/b.py' AS oracles, 2 AS n FROM orders""")
+#: A list without later copies, in order.
+_ONCE = "list_filter({x}, lambda x, i: list_position({x}, x) = i)"
+_PATCH = "concat('--- a/', source, '/', coalesce(lang, 'none'), '.py\n+++ b/new.py\n@@ -1 +1 @@\n', replace(coalesce(text, ''), '.', '\n--- a/'), '\n--- a/lib/b.py\n--- a/', source, '/', coalesce(lang, 'none'), '.py\n')"
+_LOG = "concat('start\nSuccessfully modified file: /work/src/', source, '.py\n', replace(coalesce(text, ''), ', ', '\nSuccessfully modified file: /work/'), '\nedit(file_path=\"', lang, '.md\")\nSuccessfully modified file: /work/src/', source, '.py  \n')"
+
+
+def _duck(text: str) -> str:
+    """The same text expression for DuckDB, whose plain strings know no escapes."""
+    return text.replace("\n", "' || chr(10) || '")
+
+
+@register("oracle_files", f"""WITH p AS (SELECT doc_id, regexp_extract_all({_duck(_PATCH)}, '(?m)^--- a/(.+)$', 1) AS f FROM documents)
+SELECT doc_id, md5(array_to_string({_ONCE.format(x="f")}, ',')) AS oracles, len({_ONCE.format(x="f")})::INT AS n FROM p""")
 def oracle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that a patch changes, each once."""
+    """Files that a patch changes, each once. The patches hold the documents' texts, with
+    a header at each full stop."""
     from tessera.functions.symbols import patch_files
 
-    patch = F.concat(F.lit("--- a/a"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".py\n+++ b/a.py\n@@\n--- a/lib/b.py\n+++ b/lib/b.py\n--- a/lib/b.py\n"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(patch_files(patch), ",").alias("oracles"), F.size(patch_files(patch)).alias("n"))
+    files = table(spark, sf_dir, "documents").select("doc_id", patch_files(F.expr(_PATCH)).alias("f"))
+    return files.select("doc_id", F.md5(F.array_join("f", ",")).alias("oracles"), F.size("f").alias("n"))
 
 
-@register("hit_files", """SELECT doc_id, 'src/' || source || '.py' || CASE WHEN doc_id % 2 = 0 THEN ',docs/' || lang || '.md' ELSE '' END AS hits FROM documents""")
+@register("hit_files", rf"""WITH l AS (SELECT doc_id, {_duck(_LOG)} AS log FROM documents), f AS (SELECT doc_id, list_transform(list_concat(regexp_extract_all(log, '(?m)^Successfully modified file: (.+?)\s*$', 1), regexp_extract_all(log, 'file_path=[''"]([^''"]+)[''"]', 1)), lambda p: regexp_replace(p, '^/work/', '')) AS f FROM l)
+SELECT doc_id, md5(array_to_string({_ONCE.format(x="f")}, ',')) AS hits, len({_ONCE.format(x="f")})::INT AS n FROM f""")
 def hit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that a tool log says were edited, relative, in order, each once."""
-    log = F.concat(F.lit("start\nSuccessfully modified file: /work/src/"), "source", F.lit(".py\nnoise\n"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("edit(file_path='/work/docs/"), "lang", F.lit(".md')\n"))).otherwise(""), F.lit("Successfully modified file: /work/src/"), F.col("source"), F.lit(".py"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(evaluation.hit_files(log, "/work"), ",").alias("hits"))
+    """Files that a tool log says were edited, relative, in order, each once. The logs
+    hold the documents' texts, with a success line at each comma."""
+    f = table(spark, sf_dir, "documents").select("doc_id", evaluation.hit_files(F.expr(_LOG), "/work").alias("f"))
+    return f.select("doc_id", F.md5(F.array_join("f", ",")).alias("hits"), F.size("f").alias("n"))
 
 
 @register("eval_topk", """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY rank) AS hits FROM r WHERE rank <= 20 GROUP BY 1""")

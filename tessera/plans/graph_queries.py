@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, ranking
@@ -142,11 +142,15 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.link_edges(s.withColumn("content", text))
 
 
-@register("two_hop_references", """WITH e AS (SELECT DISTINCT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation), h1 AS (SELECT a AS seed, b AS node, 1 AS hop FROM e), h2 AS (SELECT h1.seed, e.b AS node, 2 AS hop FROM h1 JOIN e ON e.a = h1.node)
-SELECT seed, node, min(hop)::INT AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) WHERE node <> seed GROUP BY ALL""")
+@register("two_hop_references", """WITH e AS (SELECT DISTINCT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem QUALIFY b IS NOT NULL), h1 AS (SELECT a AS seed, b AS node, 1 AS hop FROM e),
+h2 AS (SELECT h1.seed, e.b AS node, 2 AS hop FROM h1 JOIN e ON e.a = h1.node), r AS (SELECT seed, node, min(hop) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) WHERE node <> seed GROUP BY ALL)
+SELECT seed, count(*) FILTER (WHERE hop = 1) AS n_first, count(*) FILTER (WHERE hop = 2) AS n_second, sum(node)::BIGINT AS nodes FROM r GROUP BY seed""")
 def two_hop_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of references, each node at its first hop."""
-    e = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("b")).distinct()
+    """References of references, each node at its first hop, counted for each part; a part
+    refers to the one after it in an order."""
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), after.alias("b")).where("b IS NOT NULL").distinct()
     h1 = e.select(F.col("a").alias("seed"), F.col("b").alias("node"), F.lit(1).alias("hop"))
     h2 = h1.join(e, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node"), F.lit(2).alias("hop"))
-    return h1.unionByName(h2).where("node <> seed").groupBy("seed", "node").agg(F.min("hop").alias("hop"))
+    reached = h1.unionByName(h2).where("node <> seed").groupBy("seed", "node").agg(F.min("hop").alias("hop"))
+    return reached.groupBy("seed").agg(F.count_if(F.col("hop") == 1).alias("n_first"), F.count_if(F.col("hop") == 2).alias("n_second"), F.sum("node").alias("nodes"))

@@ -51,7 +51,12 @@ def query_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped_queries(spark, sf_dir).select("query_id", qt.is_comparison(q).alias("is_comparison"), sides["left"].alias("left_side"), sides["right"].alias("right_side"))
 
 
-@register("query_names", f"""WITH {SHAPED_SQL} SELECT query_id, CASE WHEN query_id % 8 = 2 THEN string_split(query, '.')[1] END AS class_name, CASE WHEN query_id % 8 = 2 THEN string_split(query, '.')[2] END AS method_name,
+_NAME = r"[A-Za-z_][A-Za-z0-9_]*"
+_WHOLE = "(" + " OR ".join(f"regexp_matches(query, '^{_NAME}(?:{sep}{_NAME})+$')" for sep in (r"\.", "::", "/")) + ")"
+_LAST = r"regexp_split_to_array(query, '\.|::|/')"
+
+
+@register("query_names", f"""WITH {SHAPED_SQL} SELECT query_id, CASE WHEN {_WHOLE} THEN {_LAST}[-2] END AS class_name, CASE WHEN {_WHOLE} THEN {_LAST}[-1] END AS method_name,
  array_to_string(regexp_extract_all(query, '[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*'), ',') AS tokens FROM shaped""")
 def query_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualified names and code tokens."""
@@ -90,7 +95,7 @@ def query_rewrite_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("query_gates", f"""WITH {SHAPED_SQL}, {_SIGNALS}, vocab AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS name FROM documents)
-SELECT query_id, code AND query_id % 8 = 2 AS bypass, code AND query_id % 8 = 2 AND string_split(query, '.')[1] IN (SELECT name FROM vocab) AS refs_pool FROM forms""")
+SELECT query_id, code AND {_WHOLE} AS bypass, code AND {_WHOLE} AND {_LAST}[-2] IN (SELECT name FROM vocab) AS refs_pool FROM forms""")
 def query_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which queries skip the reranker, and which open the symbol pool."""
     q = shaped_queries(spark, sf_dir)

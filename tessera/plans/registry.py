@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Modules whose import enters their queries.
-MODULES = ("scalar_queries", "query_queries", "retrieval_queries", "filter_queries", "join_queries", "graph_queries", "aggregate_queries", "catalog_queries")
+MODULES = ("scalar_queries", "query_queries", "retrieval_queries", "search_queries", "engine_queries", "filter_queries", "join_queries", "graph_queries", "aggregate_queries", "catalog_queries")
 
 
 def register(name: str, oracle: str | None = None):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import lexical, ranking, vectors
 from tessera.plans.base import CHUNKS_SQL, chunks, table
 from tessera.plans.registry import register
+from tessera.sources import models
 
 _BM25 = """tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS t FROM documents),
 qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS term FROM benchmark),
@@ -131,14 +132,14 @@ top AS (SELECT query_id, doc_id, rank FROM r WHERE rank <= 50), x AS (SELECT que
 y AS (SELECT query_id, doc_id, rank, round(len(list_intersect(q, d)) / len(q), 6) AS relevance FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 2 THEN 0 ELSE 1 END, CASE WHEN rank <= 2 THEN rank ELSE 0 END, relevance DESC, rank) AS place FROM y)
 SELECT query_id, place, doc_id, relevance FROM z WHERE place <= 10""")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused fifty of each query reranked by the share of its words that a
-    document holds; the first two keep their places (reserved slots)."""
+    """The fused fifty of each query reranked by the model (the share of its words that
+    a document holds); the first two keep their places (reserved slots)."""
     fused = ranking.fuse_pools(_channels(spark, sf_dir), ["query_id"], "item", ranking.CHANNEL_K)
     top = ranking.top_k(fused, ["query_id"], [F.desc("score"), F.col("item")], 50).withColumn("pool", F.lit("comparisonBridge"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.array_distinct(lexical.tokens(F.col("text"))).alias("d"))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(lexical.tokens(F.col("text"))).alias("q"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("d"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     rows = ranking.reserved(top, ["query_id"], 2, 10).join(d, "item").join(q, "query_id")
-    rows = rows.select("query_id", "item", "rank", "reserved", F.round(F.size(F.array_intersect("q", "d")) / F.size("q"), 6).alias("relevance"))
+    rows = models.Reranker().apply(rows, ["query_id", "item", "rank", "reserved"], "q", "d").withColumn("relevance", F.round("relevance", 6))
     order = [F.col("reserved").desc(), F.when(F.col("reserved"), F.col("rank")).otherwise(0), F.desc("relevance"), F.col("rank")]
     return ranking.top_k(rows, ["query_id"], order, 10, "place").select("query_id", "place", F.col("item").alias("doc_id"), "relevance")
 

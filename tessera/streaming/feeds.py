@@ -16,7 +16,8 @@ POLL = "5 minutes"
 
 def poll(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, every: str = POLL) -> StreamingQuery:
     """Hand each micro-batch of a change feed to ``apply``. A batch that is run again
-    after a failure has the same number. The checkpoint keeps a second writer out."""
+    after a failure has the same number. A second writer is kept out by a lock of
+    ``sources.locks`` around the call, not by the checkpoint."""
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
