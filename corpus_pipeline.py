@@ -50,8 +50,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("personal_data", personal_data), ("packing", packed)]
 
-#: Networks, suffix orders and packing are beyond SQL; the tests hold each stage
-#: against a brute-force version instead.
+#: Networks, grammars of spans and packing are beyond SQL; the tests hold the language
+#: stage to clean and rejected documents, near duplicates, repeated strings and personal
+#: data to plain Python over the same rows, and the pieces to the tokenizers library.
 ORACLE_SQL = None
 
 

@@ -7,9 +7,12 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import SMALL, rows
+from tests.llm.test_texts import brute_terms, check_packing, spans
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tessera.llm import ann, bwt, langid, neardup, substring, warc
@@ -273,6 +276,8 @@ def test_ann_odd_vectors(spark):
     got = rows(ann.search(e, F.col("vec_id") % 20 == 0))
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 20, 0.0), (20, 1, 1, 0.5), (20, 2, 2, 0.5), (20, 3, 0, 0.0)]
     assert ann.search(e.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    more = spark.createDataFrame([(40, [2.0], 1, 2), (41, [3.0], 1, 2), (0, [1.0, 0.0], 1, 2), (2, [0.5, 0.5], 1, 2), (0, [1.0, 0.0], 1, 2)], "vec_id long, embedding array<float>, rank int, score int")
+    assert rows(ann.search(more, F.col("vec_id") % 20 == 0)) == [(0, 1, 2, 0.5), (40, 1, 41, 6.0)]
     assert ann.search(e.where("vec_id IN (3, 4)"), F.col("vec_id") % 20 == 0).count() == 0
 
 
@@ -370,6 +375,53 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(texts)
 
 
+def sanitised_plainly(texts):
+    """Each text with its spans replaced, by plain counting and slicing."""
+    terms, out = brute_terms(texts), {}
+    for d, t in texts.items():
+        found = [(a, b, f"[{k.upper()}]") for k, own in spans(t).items() for a, b in own]
+        for a, b, gone in terms[d]:
+            shape = "[CODE]" if re.search(r"[0-9]", t[a:b]) else "[NAME]" if t[a].isupper() else "[WORD]"
+            found.append((a, b, "" if gone else shape))
+        merged = []
+        for a, b, label in sorted(found):
+            if merged and merged[-1][1] > a:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]), merged[-1][2])
+            else:
+                merged.append((a, b, label))
+        edges = [0, *(x for a, b, _ in merged for x in (a, b)), len(t)]
+        out[d] = "".join(t[edges[2 * k] : edges[2 * k + 1]] + (merged[k][2] if k < len(merged) else "") for k in range(len(merged) + 1))
+    return out
+
+
+def test_pipeline_stages_against_plain_python(spark, docs):
+    """Every stage on the input that the stage before it leaves."""
+    read = lambda df: {r.doc_id: r.text for r in df.collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == 0, F.concat("text", F.lit(" ask jane@corp.example"))).when(F.col("doc_id") == 1, F.lit(None)).otherwise(F.col("text")))
+    first = corpus_pipeline.staged(stage["language"](spark, docs, SMALL), "plain-language")
+    kept, every = read(first), read(docs)
+    assert all(kept[d] == every[d] for d in kept) and not any(re.search(r"[^\W\d_]", every[d] or "") and len(every[d]) > 200 for d in every.keys() - kept.keys())
+    near = corpus_pipeline.staged(stage["near_duplicates"](spark, first, SMALL), "plain-near")
+    assert read(near) == {d: kept[d] for d, (_, c) in brute_components(kept, 5).items() if c == d}
+    cut = corpus_pipeline.staged(stage["repeated_strings"](spark, near, SMALL), "plain-cut")
+    want = {}
+    raw = {d: t.encode() for d, t in read(near).items()}
+    seen = collections.Counter(b[k : k + 200] for b in raw.values() for k in range(len(b) - 199))
+    for d, b in raw.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        want[d] = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode(errors="ignore")
+    assert read(cut) == want
+    clean = corpus_pipeline.staged(stage["personal_data"](spark, cut, SMALL), "plain-clean")
+    assert read(clean) == sanitised_plainly(want) and "jane@" not in "".join(read(clean).values())
+    assert {r.doc_id: r.n_chars for r in clean.collect()} == {d: len(t) for d, t in read(clean).items()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    check_packing(stage["packing"](spark, clean, SMALL).collect(), clean, lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids, 2048)
+
+
 def test_pipeline_language_keeps_clean_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, SMALL).select("doc_id").collect()}
