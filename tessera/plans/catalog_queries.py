@@ -18,8 +18,12 @@ from tessera.streaming import feeds
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    """A new folder that driver and executors share. A session on one machine without
+    the setting gets a private folder; a cluster without it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"
 
 
