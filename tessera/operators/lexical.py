@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A token of the analyser, after lower-casing.
 TOKEN = "[a-z0-9_]+"
+#: Rows of terms that are broadcast at most: about 100 MB.
+SMALL_ROWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -24,14 +26,31 @@ def lengths(docs: DataFrame, item: str, text: str) -> DataFrame:
     return docs.select(F.col(item).alias("item"), F.size(tokens(F.col(text))).cast("long").alias("dl"))
 
 
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it holds ``most`` rows at most, which is counted;
+    a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def matches(docs: DataFrame, terms: DataFrame, item: str, text: str) -> DataFrame:
     """``(item, dl, term, tf)`` of the terms that some query has. Other terms are
     dropped before anything is shuffled."""
-    vocabulary = terms.select("term").distinct()
+    vocabulary = small(terms.select("term").distinct())
     each = docs.select(F.col(item).alias("item"), tokens(F.col(text)).alias("t")).select("item", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
     return each.join(vocabulary, "term").groupBy("item", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def met(posting: DataFrame, terms: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """``posting`` joined with the query terms, and with ``weights``, one row of each
+    term. Postings are dealt by item before terms of a counted size meet them, so what
+    is then grouped by query and item stays in place, no frequent term is one key, and
+    pairs are never shuffled. Too many terms for that meet the postings in a join by
+    term."""
+    few = small(terms) is not terms
+    terms = terms if weights is None else terms.join(weights, "term")
+    return posting.repartition("item").join(F.broadcast(terms), "term") if few else posting.join(terms, "term")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, item: str, text: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75, extra: DataFrame | None = None) -> DataFrame:
     """``(query_id, item, score, overlap)`` of all items that share a term.
 
@@ -45,8 +64,7 @@ def bm25(docs: DataFrame, queries: DataFrame, item: str, text: str, query_id: st
     df = posting.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(whole)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     score = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = posting.join(idf, "term").select("item", "term", score.alias("s"))
-    return weighed.join(terms, "term").groupBy("query_id", "item").agg(F.round(F.sum("s"), 6).alias("score"), F.count("*").alias("overlap"))
+    return met(posting, terms, idf).groupBy("query_id", "item").agg(F.round(F.sum(score), 6).alias("score"), F.count("*").alias("overlap"))
 
 
 def sparse_search(vectors: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:

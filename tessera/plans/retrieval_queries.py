@@ -82,7 +82,7 @@ def comparison_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda k, lo: b.select(F.col("item_id").alias("query_id"), F.lit(k).alias("sub"), F.explode(F.slice("t", lo, 3)).alias("term"))
     q = part(1, 1).unionByName(part(2, 4)).distinct()
     d = table(spark, sf_dir, "documents")
-    s = lexical.matches(d, q, "doc_id", "text").join(q, "term").groupBy("query_id", "sub", "item").agg(F.count("*").alias("hit"), F.sum("tf").alias("n"))
+    s = lexical.met(lexical.matches(d, q, "doc_id", "text"), q).groupBy("query_id", "sub", "item").agg(F.count("*").alias("hit"), F.sum("tf").alias("n"))
     p = ranking.top_k(s, ["query_id", "sub"], [F.desc("hit"), F.desc("n"), F.col("item")], 50).withColumn("w", F.lit(0.5))
     fused = ranking.fuse_pools(p, ["query_id"], "item", ranking.POOL_K, "w")
     return ranking.top_k(fused, ["query_id"], [F.desc("score"), F.col("item")], 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score", "n_pools")

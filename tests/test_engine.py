@@ -97,3 +97,14 @@ def test_edits(spark):
     assert [tuple(r) for r in got.collect()] == [(1, "a.py", "it's\n1", "2")]
     diff = evaluation.unified_diffs(got, "k").first().diff.split("\n")
     assert diff[:2] == ["--- a/a.py", "+++ b/a.py"] and diff[3:] == ["-it's", "-1", "+2"]
+
+
+def test_bm25_is_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    from tessera.operators import lexical
+
+    docs = spark.createDataFrame([(i, "the " * (i % 4) + f"w{i % 7} w{i % 3}" if i % 11 else None) for i in range(200)], "d long, t string")
+    asked = spark.createDataFrame([(q, f"the w{q} w{q + 1} w{q}") for q in range(6)], "q long, t string")
+    found = lambda: sorted(map(tuple, lexical.bm25(docs, asked, "d", "t", "q", "t").collect()))
+    near = found()
+    monkeypatch.setattr(lexical.small, "__defaults__", (0,))
+    assert near == found() and len(near) > 200
