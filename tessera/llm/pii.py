@@ -170,7 +170,8 @@ def disclosing_terms(df: DataFrame, scan: DataFrame, rules: Disclosure, text_col
     most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - rules.generalise)) * 1.000001
     pairs = staged(pairs.join(entities, "entity").where(F.col("n_e") < n).join(about, "term").where(F.col("n_near") <= most).drop("n_near"), "pii-pairs")
     words = df.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(_name(text_col)), F.lit(""))))).alias("term"))
-    freq = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Counted before the join: each task sends a term once, however common it is.
+    freq = words.groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
     return pairs.join(freq, "term").select("entity", "term", "texts", share.alias("share")).where(F.col("share") >= rules.generalise)
 
