@@ -22,13 +22,15 @@ the length of the text; positions come from the lengths of the pieces between th
 matches, summed in blocks. They count code points.
 
 Null texts count as empty and have no span. Rows with a null id get base spans only.
-Repeated rows each get the same result. Of terms with several entities the strongest
+Repeated rows each get the same result; where rows share an id but not the text, each
+is judged by the entities of its own text. Of terms with several entities the strongest
 one decides. Texts of any length are read whole. An empty table gives no rows.
 Columns that are added for the work start with ``__`` and are dropped again.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -134,9 +136,9 @@ _BROADER = {
 
 
 def scanned(df: DataFrame, rules: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, th, email, ip, card, phone)`` of each row, written once: the base
-    spans, each with its entity, the entity's class and the terms around it. The
-    later steps read this table and not the texts."""
+    """``(doc, th, held, text, email, ip, card, phone)`` of each row, written once: the
+    base spans, each with its entity, the entity's class and the terms around it.
+    Only rows that hold a span carry their text, so the later steps move no other."""
     text = F.coalesce(F.col(_name(text_col)), F.lit(""))
     found = df.select(F.col(_name(id_col)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     for k, v in base_spans(F.col("text")).items():
@@ -151,7 +153,8 @@ def scanned(df: DataFrame, rules: Disclosure, id_col: str = "doc_id", text_col:
         s["start"].alias("start"), s["end"].alias("end"), s["entities"].alias("entities"),
         F.array_distinct(F.concat(F.slice(F.reverse(s["l"]), 1, rules.window), F.slice(s["r"], 1, rules.window))).alias("terms"),
     )
-    return staged(found.select("doc", "th", *(F.transform(around(k), cut).alias(k) for k in KINDS)), "pii-spans")
+    held = sum((F.size(f"found_{k}") for k in KINDS), F.lit(0)) > 0
+    return staged(found.select("doc", "th", held.alias("held"), F.when(held, F.col("text")).alias("text"), *(F.transform(around(k), cut).alias(k) for k in KINDS)), "pii-spans")
 
 
 def disclosing_terms(df: DataFrame, scan: DataFrame, rules: Disclosure, text_col: str = "text") -> DataFrame:
@@ -177,20 +180,23 @@ def disclosing_terms(df: DataFrame, scan: DataFrame, rules: Disclosure, text_col
 
 
 def term_spans(df: DataFrame, scan: DataFrame, rules: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, th, terms)``: spans of the disclosing terms in the documents that
-    hold their entity. Written once, so a join with it is planned by its size."""
+    """``(doc, th, terms)``: spans of the disclosing terms in the rows that hold
+    their entity. Rows meet their terms by a merge at every size, and only rows with
+    a base span take part, so no other text is shuffled."""
     found = staged(disclosing_terms(df, scan, rules, text_col), "pii-terms")
-    holds = scan.where(F.col("doc").isNotNull()).select("doc", F.explode(F.concat(*KINDS)).alias("s")).select("doc", F.explode("s.entities").alias("entity")).distinct()
+    rows = scan.where(F.col("held") & F.col("doc").isNotNull())
+    holds = rows.select("doc", "th", F.explode(F.concat(*KINDS)).alias("s")).select("doc", "th", F.explode("s.entities").alias("entity")).distinct()
     gone = (F.col("share") >= rules.remove) & (F.col("texts") >= rules.least_texts)
-    own = holds.join(found, "entity").groupBy("doc", "term").agg(F.max(gone).alias("gone")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("own"))
-    rows = df.select(F.col(_name(id_col)).alias("doc"), F.coalesce(F.col(_name(text_col)), F.lit("")).alias("text")).join(staged(own, "pii-own"), "doc")
+    own = holds.join(found, "entity").groupBy("doc", "th", "term").agg(F.max(gone).alias("gone")).groupBy("doc", "th").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("own"))
+    rows = rows.select("doc", "th", "text").join(own.hint("merge"), ["doc", "th"])
     hit = _located(F.col("text"), rf"(?iu){_TERM}", None, lambda m: F.map_contains_key(F.col("own"), F.lower(m["value"])))
     shape = lambda s: F.when(F.try_element_at(F.col("own"), F.lower(s["value"])), "").when(s["value"].rlike(r"\p{N}"), "[CODE]").when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
     marked = F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), shape(s).alias("label")))
-    return staged(rows.select("doc", F.xxhash64("text").alias("th"), marked.alias("terms")).distinct(), "pii-term-spans")
+    return staged(rows.select("doc", "th", marked.alias("terms")).distinct(), "pii-term-spans")
 
 
 _NONE = "array<struct<start:int,end:int,label:string>>"
+_SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
 def digests(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +204,9 @@ def digests(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_i
     rules = rules or Disclosure()
     df = df.select(_name(id_col), _name(text_col))
     scan = scanned(df, rules, id_col, text_col)
-    found = scan.join(term_spans(df, scan, rules, id_col, text_col), ["doc", "th"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(_NONE)))
+    spans = scan.select("doc", "th", "held", *KINDS)
+    found = spans.where("held").join(term_spans(df, scan, rules, id_col, text_col).hint("merge"), ["doc", "th"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(_NONE)))
+    found = found.unionByName(spans.where("NOT held").withColumn("terms", F.array().cast(_NONE)))
     said = F.concat(*(_said(F.col(k), k) for k in KINDS))
     return found.select(
         F.col("doc").alias(id_col), *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.array_join(said, ","), 256).alias("base_sha256"),
@@ -210,11 +218,16 @@ def find(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_id",
     """Each row's columns with ``__email``, ``__ip``, ``__card``, ``__phone`` (arrays
     of ``start, end, value``) and ``__terms`` (of ``start, end, label``)."""
     rules = rules or Disclosure()
-    own = {f"__{k}": v for k, v in base_spans(F.col(_name(text_col))).items()}
+    text = F.coalesce(F.col(_name(text_col)), F.lit(""))
+    own = {f"__{k}": v for k, v in base_spans(text).items()}
     more = term_spans(df, scanned(df, rules, id_col, text_col), rules, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("terms").alias("__terms"))
-    out = df.withColumns(own).withColumn("__own", F.xxhash64(F.coalesce(F.col(_name(text_col)), F.lit(""))))
-    out = out.join(more, (F.col(_name(id_col)) == F.col("__doc")) & (F.col("__own") == F.col("__th")), "left")
-    return out.withColumn("__terms", F.coalesce("__terms", F.array().cast(_NONE))).drop("__doc", "__th", "__own")
+    # Texts that no guard matches hold no span and needn't meet the terms.
+    some = functools.reduce(Column.__or__, (text.rlike(g) for g in _GUARD.values()))
+    out = df.where(some).withColumns(own).withColumn("__own", F.xxhash64(text))
+    out = out.join(more.hint("merge"), (F.col(_name(id_col)) == F.col("__doc")) & (F.col("__own") == F.col("__th")), "left")
+    out = out.withColumn("__terms", F.coalesce("__terms", F.array().cast(_NONE))).drop("__doc", "__th", "__own")
+    rest = df.where(~some).withColumns({k: F.array().cast(_SPANS) for k in own}).withColumn("__terms", F.array().cast(_NONE))
+    return out.unionByName(rest)
 
 
 def sanitised(df: DataFrame, rules: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
