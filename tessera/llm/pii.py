@@ -92,13 +92,15 @@ def _located(text: Column, pattern: str, guard: str | None, keep) -> Column:
         lambda a: a["out"],
     )
     kind = "array<struct<start:int,end:int,value:string>>"
+    # Only what is kept is appended: the arrays stay short where many matches aren't.
+    one = lambda a, e: F.array(F.struct((a["at"] + e["gap"]).alias("start"), (a["at"] + e["gap"] + e["len"]).alias("end"), e["value"].alias("value")))
     inside = lambda x, base: F.aggregate(
         x,
         F.struct(base.alias("at"), F.array().cast(kind).alias("out")),
-        lambda a, e: F.struct((a["at"] + e["gap"] + e["len"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + e["gap"]).alias("start"), (a["at"] + e["gap"] + e["len"]).alias("end"), e["value"].alias("value")))).alias("out")),
+        lambda a, e: F.struct((a["at"] + e["gap"] + e["len"]).alias("at"), F.when(keep(e), F.concat(a["out"], one(a, e))).otherwise(a["out"]).alias("out")),
         lambda a: a["out"],
     )
-    out = F.filter(F.flatten(F.zip_with(blocks, at, inside)), keep)
+    out = F.flatten(F.zip_with(blocks, at, inside))
     some = text.rlike(guard) if guard else F.lit(True)
     return F.when(some & (F.regexp_count(text, F.lit(pattern)) > 0), out).otherwise(F.array().cast(kind))
 
@@ -188,7 +190,9 @@ def term_spans(df: DataFrame, scan: DataFrame, rules: Disclosure, id_col: str =
     holds = rows.select("doc", "th", F.explode(F.concat(*KINDS)).alias("s")).select("doc", "th", F.explode("s.entities").alias("entity")).distinct()
     gone = (F.col("share") >= rules.remove) & (F.col("texts") >= rules.least_texts)
     own = holds.join(found, "entity").groupBy("doc", "th", "term").agg(F.max(gone).alias("gone")).groupBy("doc", "th").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("own"))
-    rows = rows.select("doc", "th", "text").join(own.hint("merge"), ["doc", "th"])
+    # A given number of partitions isn't merged: the work here is on words, not bytes.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("doc", "th", "text").repartition(parts, "doc", "th").join(own.hint("merge"), ["doc", "th"])
     hit = _located(F.col("text"), rf"(?iu){_TERM}", None, lambda m: F.map_contains_key(F.col("own"), F.lower(m["value"])))
     shape = lambda s: F.when(F.try_element_at(F.col("own"), F.lower(s["value"])), "").when(s["value"].rlike(r"\p{N}"), "[CODE]").when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
     marked = F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), shape(s).alias("label")))
