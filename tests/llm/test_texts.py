@@ -298,6 +298,18 @@ def test_pii_copies_cancel_no_term(spark):
     assert all(got[k] == 0 for k in range(12, 400))
 
 
+def test_pii_rows_of_one_id_are_judged_by_their_own_text(spark):
+    """Repeated rows, rows that share an id but not the text, and null ids."""
+    own = disclosing()
+    texts = [*own, own[0], (0, "zorbo without an address"), (None, own[1][1])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert pii.digests(df).count() == len(texts)
+    found = [(r.doc_id, r.text, [r.text[s.start : s.end] for s in r["__terms"]]) for r in pii.find(df).collect()]
+    assert len(found) == len(texts)
+    for d, text, terms in found:
+        assert ("zorbo" in terms) == (d is not None and d < 12 and "@" in text), (d, text, terms)
+
+
 TERM = regex.compile(r"\p{L}[\p{L}\p{N}_'’-]*+")
 BROADER = {"email": lambda v: v.lower().rpartition("@")[2], "ip": lambda v: ".".join(v.split(".")[:2]), "card": lambda v: re.sub("[^0-9]", "", v)[:6], "phone": lambda v: re.sub("[^0-9]", "", v)[:4]}
 
