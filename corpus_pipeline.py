@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, neardup, packing, pii, substring
-from tessera.llm.common import staged
+from tessera.llm.common import small_transfers, staged
 
 #: Below this mean probability of the best language a document goes. Clean text is
 #: far above it; what lies below is mostly too short to tell.
@@ -23,17 +23,20 @@ NEAR = neardup.Forest(words=5, percent=80)
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a clear language."""
+    small_transfers(spark)
     model = langid.learn(docs)
     return langid.label(docs, model, keep=True, prefix="__").where((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component."""
+    small_transfers(spark)
     return neardup.deduplicated(docs, forest=NEAR)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove strings of 200 bytes or more that occur more than once."""
+    small_transfers(spark)
     out = substring.remove(docs, keep=True, prefix="__")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -45,6 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into training sequences."""
+    small_transfers(spark)
     return packing.pack(docs)
 
 

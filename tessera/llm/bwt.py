@@ -20,29 +20,32 @@ def _suffixes(symbols: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.n
     """Suffix order and its inverse; a suffix ends at its segment's end mark, equal
     suffixes stand in the order of their places (as if the marks differed)."""
     n = len(symbols)
-    place = np.arange(n, dtype=np.uint64)
     low = np.uint64(20)
-    room = ends - np.arange(n)
-    wide = np.concatenate([symbols, np.zeros(4, np.uint64)])
+    room = ends - np.arange(n, dtype=np.int32)
+    wide = np.concatenate([symbols, np.zeros(4, symbols.dtype)])
     key = np.zeros(n, np.uint64)
     for k in range(4):
-        key = (key << np.uint64(9)) | np.where(room >= k, wide[k : k + n], 0)
-    rank, h = None, 4
+        key <<= np.uint64(9)
+        key |= np.where(room >= k, wide[k : k + n], np.uint16(0))
+    h = 4
+    # One array of 64 bits is sorted in place; the others have 32 bits.
     while True:
-        done = np.sort((key << low) | place)
-        order = (done & np.uint64(MOST - 1)).astype(np.int32)
-        value = done >> low
-        step = np.zeros(n, np.uint64)
-        step[1:] = value[1:] != value[:-1]
-        step = np.cumsum(step)
-        rank = np.empty(n, np.uint64)
+        key <<= low
+        key |= np.arange(n, dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64(MOST - 1)).astype(np.int32)
+        key >>= low
+        step = np.cumsum(np.append(False, key[1:] != key[:-1]), dtype=np.uint32)
+        rank = np.empty(n, np.uint32)
         rank[order] = step
         if h > longest or int(step[-1]) == n - 1:
             inverse = np.empty(n, np.int32)
             inverse[order] = np.arange(n, dtype=np.int32)
             return order, inverse
-        after = np.where(room >= h, rank[np.minimum(np.arange(n) + h, n - 1)] + np.uint64(1), np.uint64(0))
-        key = (rank << low) | np.minimum(after, np.uint64(MOST - 1))
+        key[:] = rank
+        key <<= low
+        at = np.flatnonzero(room >= h)
+        key[at] |= np.minimum(rank[at + h] + np.uint32(1), np.uint32(MOST - 1))
         h *= 2
 
 
@@ -54,11 +57,11 @@ def repeated_starts(segments: list[np.ndarray], least: int) -> list[np.ndarray]:
     if n > MOST - 2:
         raise ValueError("the shard is too large")
     close = np.cumsum(sizes) - 1
-    symbols = np.zeros(n, np.uint64)
+    symbols = np.zeros(n, np.uint16)
     inner = np.ones(n, bool)
     inner[close] = False
-    symbols[inner] = np.concatenate(segments).astype(np.uint64) + np.uint64(1)
-    order, inverse = _suffixes(symbols, np.repeat(close, sizes), int(sizes.max()))
+    symbols[inner] = np.concatenate(segments) + np.uint16(1)
+    order, inverse = _suffixes(symbols, np.repeat(close.astype(np.int32), sizes), int(sizes.max()))
     before = order - 1
     bwt = np.where(before >= 0, symbols[before], 0).astype(np.int16)
     lf = np.where(bwt > 0, inverse[before], np.int32(0))
@@ -77,18 +80,18 @@ def repeated_starts(segments: list[np.ndarray], least: int) -> list[np.ndarray]:
     far[: len(segments) + 1] = True
     far[n] = True
     used = np.flatnonzero(np.diff(count[1:])) + 1
-    marks = np.arange(len(segments))
+    marks = np.arange(len(segments), dtype=np.int32)
     lo, hi = np.concatenate([marks, count[used]]), np.concatenate([marks + 1, count[used + 1]])
     far[hi] = True
     for _ in range(1, least):
         if not len(lo):
             break
         wide = hi - lo
-        owner = np.repeat(np.arange(len(lo)), wide)
-        at = np.arange(len(owner)) + np.repeat(lo - (np.cumsum(wide) - wide), wide)
+        at = np.repeat(lo - (np.cumsum(wide, dtype=np.int32) - wide), wide)
+        at += np.arange(len(at), dtype=np.int32)
         solid = bwt[at] > 0
-        at, owner = at[solid], owner[solid]
-        start, stop = lf[at[prv[at] < lo[owner]]], lf[at[nxt[at] >= hi[owner]]] + 1
+        start = lf[at[(prv[at] < np.repeat(lo, wide)) & solid]]
+        stop = lf[at[(nxt[at] >= np.repeat(hi, wide)) & solid]] + 1
         start.sort()
         stop.sort()
         new = ~far[stop]

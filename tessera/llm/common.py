@@ -22,6 +22,16 @@ from pyspark.sql import functions as F
 #: Text bytes that one vectorised step works on at once.
 BLOCK_BYTES = 1 << 20
 
+#: Bytes of rows that Spark sends to a Python worker at once, where a caller bounds them.
+TRANSFER_BYTES = 1 << 21
+
+
+def small_transfers(spark: SparkSession) -> None:
+    """From now on rows of this session go to Python in batches of ``TRANSFER_BYTES``
+    (a longer row is a batch of its own). By default it is 10,000 rows or 64 MB, which
+    the executor holds several times over outside its heap, for each running task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TRANSFER_BYTES))
+
 
 @functools.cache
 def _trim() -> Callable[[int], int]:

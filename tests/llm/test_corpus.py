@@ -5,8 +5,10 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from tests.llm.test_texts import brute_terms, check_packing, spans
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import ann, bwt, langid, neardup, substring, warc
+from tessera.llm import ann, bwt, common, langid, neardup, substring, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -243,6 +245,18 @@ def test_bwt_intervals():
         assert [x.tolist() for x in bwt.repeated_starts(parts, least)] == want
 
 
+def test_bwt_memory_of_a_whole_shard():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(97, 123, 319).astype(np.uint8) for _ in range((bwt.MOST - 2) // 320)]
+    parts[-200:] = parts[:200]
+    tracemalloc.start()
+    got = bwt.repeated_starts(parts, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in got] == [120 if k < 200 or k >= len(parts) - 200 else 0 for k in range(len(parts))]
+    assert peak < 80 * bwt.MOST
+
+
 def exact(x, ids, k=20):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
@@ -437,3 +451,18 @@ def test_pipeline_stages_take_odd_tables(spark, odd):
             docs = corpus_pipeline.staged(stage(spark, docs, SMALL), f"test-odd-{name}")
             assert docs.columns == wide.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count()
+
+
+def test_pipeline_sends_rows_to_python_in_bounded_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat(concat(id, ' some words '), 200) AS text", "'en' AS lang")
+    for k in (0, 1, 2, 4):
+        spark.conf.unset(name)
+        corpus_pipeline.STAGES[k][1](spark, docs.limit(5), SMALL)
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 1.1 * common.TRANSFER_BYTES
+    spark.conf.unset(name)
