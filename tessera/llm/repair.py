@@ -42,8 +42,8 @@ MAGIC = b"RPG2"
 _HEAD = struct.Struct("<4sIQQQI")
 #: Symbols of one zstd block.
 BLOCK = 1 << 16
-#: Bits of a slot in the table that counts pairs.
-SLOTS = 20
+#: Least and most bits of a slot in the table that counts pairs.
+SLOTS = 16, 24
 #: Most tasks that read files back; beyond them a task reads several files in turn.
 READERS = 10_000
 
@@ -108,6 +108,12 @@ class Grammar:
         return out
 
 
+def slot_bits(places: int) -> int:
+    """Bits of a slot for so many places: an eighth as many slots as places, so that a
+    shard's table stays in the cache and a longer document has a larger one."""
+    return min(max(places.bit_length() - 3, SLOTS[0]), SLOTS[1])
+
+
 def compress(ids: np.ndarray, sizes: np.ndarray, first: int, least: int = 8) -> tuple[Grammar, np.ndarray, np.ndarray]:
     """Grammar, symbols, and each document's first symbol (with the end).
 
@@ -125,55 +131,87 @@ def compress(ids: np.ndarray, sizes: np.ndarray, first: int, least: int = 8) ->
     seq[np.cumsum(sizes)[sizes > 0] - 1] |= mark
     rules: list[np.ndarray] = []
     n = first
-    held = np.zeros(1 << SLOTS, np.uint64)
     live = np.flatnonzero(seq < mark)
+    bits = slot_bits(len(live))
+    held = np.zeros(1 << bits, np.uint64)
     while len(live) >= least:
-        code = (seq[live].astype(np.uint64) << np.uint64(32)) | (seq[live + 1] & ~mark)
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
+        code = seq.take(live).astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= seq.take(live + 1) & ~mark
+        slot = code * np.uint64(0x9E3779B97F4A7C15)
+        slot >>= np.uint64(64 - bits)
+        slot = slot.view(np.int64)
         held[slot] = code
-        met = held[slot] == code
-        here = np.bincount(slot if met.all() else slot[met], minlength=1 << SLOTS)[slot]
-        hot = met & (here >= least)
+        late = np.flatnonzero(held.take(slot) != code)
         # Pairs of one count are ordered by their slot; who shares it waits a round.
-        order = np.where(hot, here << SLOTS | slot, -1)
-        if not hot.any():
-            if met.all():
+        order = np.bincount(slot, minlength=1 << bits)
+        if len(late):
+            order -= np.bincount(slot.take(late), minlength=1 << bits)
+        if len(live) > len(order):
+            order <<= bits
+            order |= np.arange(len(order))
+            order = order.take(slot)
+        else:
+            order = order.take(slot)
+            order <<= bits
+            order |= slot
+        hot = order >= least << bits
+        hot[late] = False
+        of = np.flatnonzero(hot)
+        if not len(of):
+            if not len(late):
                 break
-            live = live[~met]
+            live = live[late]
             continue
-        near = live[1:] == live[:-1] + 1
-        up = order[1:] >= order[:-1]
-        same = near & up & (order[1:] <= order[:-1]) & hot[1:]
-        win = hot.copy()
-        win[1:] &= ~near | up
-        win[:-1] &= ~near | same | ~up
+        # Only frequent pairs compete: a rare neighbour never wins.
+        place, order, slot = live.take(of), order.take(of), slot.take(of)
+        near = place[1:] == place[:-1] + 1
+        same = near & (order[1:] == order[:-1])
+        up = near & (order[1:] >= order[:-1])
+        win = np.ones(len(place), bool)
+        win[1:] = ~near | up
+        win[:-1] &= ~up | same
         if same.any():
             same = np.append(False, same)
-            place = np.arange(len(live))
-            win &= (place - np.maximum.accumulate(np.where(same, 0, place))) % 2 == 0
-        chosen = slot[win]
-        used = np.bincount(chosen, minlength=1 << SLOTS) >= min(3, (least + 1) // 2)
-        if (thin := ~used[chosen]).any():
-            win[np.flatnonzero(win)[thin]] = False
-            chosen = chosen[~thin]
-        number = np.cumsum(used, dtype=np.int32) - 1
-        pairs = held[used]
+            turn = np.arange(len(place), dtype=np.int32)
+            win &= (turn - np.maximum.accumulate(np.where(same, 0, turn))) % 2 == 0
+        won = np.flatnonzero(win)
+        chosen = slot.take(won)
+        enough = min(3, (least + 1) // 2)
+        if 32 * len(chosen) > 1 << bits:
+            used = np.bincount(chosen, minlength=1 << bits) >= enough
+            pairs, number, thick = held[used], np.cumsum(used, dtype=np.int32).take(chosen) - 1, used.take(chosen)
+        else:
+            slots, at, count = np.unique(chosen, return_inverse=True, return_counts=True)
+            used = count >= enough
+            pairs, number, thick = held[slots[used]], np.cumsum(used, dtype=np.int32).take(at) - 1, used.take(at)
+        if not thick.all():
+            thick = np.flatnonzero(thick)
+            won, number = won.take(thick), number.take(thick)
         rules.append(pairs)
-        chosen = number[chosen]
-        at = live[win]
-        seq[at] = chosen.view(np.uint32) + np.uint32(n) | seq[at + 1] & mark
+        at = place.take(won)
+        seq[at] = number.view(np.uint32) + np.uint32(n) | seq.take(at + 1) & mark
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        lost = live[(hot | ~met) & ~win]
-        lost = lost[stay[lost]]
+        hot[of.take(won)] = False
+        hot[late] = True
+        lost = live.take(np.flatnonzero(hot))
+        lost = lost.take(np.flatnonzero(stay.take(lost)))
         n += len(pairs)
-        seq = seq[stay]
+        if 16 * len(lost) > len(seq):
+            lost = np.cumsum(stay, dtype=np.int32).take(lost) - 1
+        else:
+            lost -= np.searchsorted(at + 1, lost, "right")
+        seq = seq.take(np.flatnonzero(stay))
         fresh = at - np.arange(len(at))
-        lost -= np.searchsorted(at + 1, lost, "right")
-        seen = np.zeros(len(seq), bool)
-        seen[fresh] = seen[fresh[fresh > 0] - 1] = seen[lost] = True
-        seen &= seq < mark
-        live = np.flatnonzero(seen)
+        if 32 * (len(fresh) + len(lost)) > len(seq):
+            seen = np.zeros(len(seq), bool)
+            seen[fresh] = seen[fresh[fresh > 0] - 1] = seen[lost] = True
+            seen &= seq < mark
+            live = np.flatnonzero(seen)
+        else:
+            live = np.unique(np.concatenate([fresh, fresh[fresh > 0] - 1, lost]))
+            live = live[seq.take(live) < mark]
     codes = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
     ends = np.zeros(len(sizes), np.int64)
     ends[sizes > 0] = np.flatnonzero(seq >= mark) + 1

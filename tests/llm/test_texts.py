@@ -136,6 +136,22 @@ def test_repair_leaves_no_frequent_pair(first, kinds):
         assert (out == ids).all()
 
 
+@pytest.mark.parametrize("bits", [3, 6, 12])
+def test_repair_pairs_that_share_a_slot(monkeypatch, bits):
+    """However few slots there are, pairs are only put off by a round."""
+    assert repair.slot_bits(2_000_000) == 18 and repair.slot_bits(64_000_000) == 23
+    monkeypatch.setattr(repair, "SLOTS", (bits, bits))
+    rng = np.random.default_rng(bits)
+    sizes = rng.integers(0, 300, 60)
+    ids = np.minimum(rng.zipf(1.2, sizes.sum()), 60).astype(np.uint32)
+    grammar, seq, bounds = repair.compress(ids, sizes, 100)
+    assert (grammar.expand(seq) == ids).all() and len(grammar.left) > 0
+    runs = [seq[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    left = collections.Counter(p for r in runs for p in zip(r[:-1], r[1:], strict=True))
+    assert max(left.values()) < 8
+    assert [int(grammar.size[r].sum()) for r in runs if r] == sizes[sizes > 0].tolist()
+
+
 def test_repair_long_expansions_are_opened_pair_by_pair():
     n = 40
     grammar = repair.Grammar(10, np.array([1, *range(10, 9 + n)], np.uint32), np.array([2, *[3] * (n - 1)], np.uint32))
