@@ -46,6 +46,8 @@ BLOCK = 1 << 16
 SLOTS = 16, 24
 #: Most tasks that read files back; beyond them a task reads several files in turn.
 READERS = 10_000
+#: Files that a task reads back in turn; starting a task takes as long as decoding one.
+FILES = 4
 
 
 @dataclass(frozen=True)
@@ -343,7 +345,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     # A fixed number of tasks: the names are too few bytes for the planner to deal.
     listed = manifest.select("file", "start")
-    n = max(1, min(READERS, listed.count()))
+    n = max(1, min(READERS, -(-listed.count() // FILES)))
     return listed.repartition(n).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

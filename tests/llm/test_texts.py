@@ -100,6 +100,14 @@ def test_repair_round_trip(spark, docs, odd, empty, tokenizer):
     assert repair.round_trip(empty).count() == 0
 
 
+def test_repair_reads_several_files_in_a_task(spark, docs, tmp_path):
+    manifest = repair.write_shards(docs.limit(60), f"file://{tmp_path}", shard_tokens=500)
+    files = manifest.count()
+    got = repair.read_shards(manifest)
+    assert files > 8 and got.rdd.getNumPartitions() == -(-files // 4)
+    assert got.select("doc_id").distinct().count() == 60
+
+
 def test_repair_engines_agree(odd):
     assert rows(repair.round_trip(odd).drop("start")) == rows(repair.round_trip(odd, engine="tokenizers").drop("start"))
 
