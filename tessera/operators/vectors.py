@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.blocks import Kept
 from tessera.operators.ranking import top_k
 
 #: Queries that meet a batch of vectors at once, and vectors of such a batch.
-QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 512
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -35,49 +36,62 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """``(query_id, rank, item, score)`` by cosine against every vector.
-
-    ``vectors`` is ``(item, v)``, ``queries`` ``(query_id, v)``, all of one length.
-    The queries are cut in blocks; each block meets each split of the vectors in
-    one task by matrix products, which keeps ``k`` rows of a query, so neither side
-    is held whole by a task and the shuffle after it is small."""
-    spark = vectors.sparkSession
-    blocks = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)).alias("h"))
-    n = blocks.count()
-    n_blocks = max(1, -(-n // QUERY_BLOCK))
-    splits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    left = vectors.select(F.pmod(F.xxhash64("item"), F.lit(splits)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.lit(1).alias("side"), F.col("item").cast("long").alias("id"), "v")
-    right = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("s"), (F.col("h") % n_blocks).cast("int").alias("b"), F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), "v")
+def _nearest(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, digits: int) -> DataFrame:
+    """``(query_id, rank, item, score)``: ``vectors`` is ``(item, v, s)``, ``queries``
+    ``(query_id, v, s)``, and a query meets the vectors of its cells ``s``, of which a
+    vector has one. The queries are cut in blocks; a block meets a cell in one task by
+    matrix products, which keeps ``k`` rows of a query, so neither side is held whole by
+    a task and the shuffle after it is small."""
+    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) % n_blocks
+    left = vectors.select("s", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.lit(1).alias("side"), F.col("item").cast("long").alias("id"), "v")
+    right = queries.select("s", block.cast("int").alias("b"), F.lit(0).alias("side"), F.col("query_id").cast("long").alias("id"), "v")
     both = left.unionByName(right).repartition("s", "b").sortWithinPartitions("s", "b", "side")
 
+    def rows(ids: np.ndarray, kept: Kept | None) -> Iterator[pa.RecordBatch]:
+        if kept is not None and (found := kept.rows()) is not None:
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[found[0]]), "item": pa.array(found[1]), "score": pa.array(found[2])})
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, asked = None, None
+        now, asked, kept = None, None, None
         for batch in batches:
             s, b, side = (batch.column(c).to_numpy() for c in ("s", "b", "side"))
             cuts = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (b[1:] != b[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(s)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if lo == hi:
                     continue
-                ids, x = batch.column("id").slice(lo, hi - lo).to_numpy(), _matrix(batch.column("v").slice(lo, hi - lo))
                 if (s[lo], b[lo]) != now:
-                    now, asked = (s[lo], b[lo]), None
+                    if asked is not None:
+                        yield from rows(asked[0], kept)
+                    now, asked, kept = (s[lo], b[lo]), None, None
+                ids, x = batch.column("id").slice(lo, hi - lo).to_numpy(), _matrix(batch.column("v").slice(lo, hi - lo))
                 if side[lo] == 0:
                     asked = (ids, x) if asked is None else (np.concatenate([asked[0], ids]), np.concatenate([asked[1], x]))
                     continue
                 if asked is None:
                     continue
+                kept = kept or Kept(len(asked[0]), k, digits)
                 for at in range(0, len(ids), VECTOR_BLOCK):
-                    own = ids[at : at + VECTOR_BLOCK]
-                    score = np.round(asked[1] @ x[at : at + VECTOR_BLOCK].T, digits)
-                    order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                    take = order.shape[1]
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(asked[0], take)), "item": pa.array(own[order].ravel()), "score": pa.array(np.take_along_axis(score, order, 1).ravel())})
+                    for q in range(0, len(asked[0]), VECTOR_BLOCK):
+                        some = asked[1][q : q + VECTOR_BLOCK]
+                        kept.offer(np.arange(q, q + len(some)), ids[at : at + VECTOR_BLOCK], some @ x[at : at + VECTOR_BLOCK].T)
+        if asked is not None:
+            yield from rows(asked[0], kept)
 
     found = both.mapInArrow(search, "query_id long, item long, score double")
     return top_k(found, ["query_id"], [F.desc("score"), F.col("item")], k).select("query_id", "rank", "item", "score")
 
 
+def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """``(query_id, rank, item, score)`` by cosine against every vector.
+
+    ``vectors`` is ``(item, v)``, ``queries`` ``(query_id, v)``, all of one length."""
+    splits = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left = vectors.select("item", "v", F.pmod(F.xxhash64("item"), F.lit(splits)).cast("int").alias("s"))
+    right = queries.select("query_id", "v", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("s"))
+    return _nearest(left, right, queries.count(), k, digits)
+
+
 class InvertedFile:
     """Approximate search: vectors in lists by their nearest centroid, of which a
     query visits ``probes``. The centroids come from at most ``sample`` rows; all
@@ -111,7 +125,10 @@ class InvertedFile:
         return df.select(key, "v").mapInArrow(near, f"{key} {kinds[key]}, v {kinds['v']}, list long")
 
     def search(self, queries: DataFrame, k: int = 10, probes: int = 8, digits: int = 6) -> DataFrame:
-        entries = self._lists(self.vectors, "item", 1)
-        asked = self._lists(queries, "query_id", probes).withColumnRenamed("v", "q")
-        found = asked.join(entries, "list").select("query_id", "item", F.round(cosine(F.col("q"), F.col("v")), digits).alias("score"))
-        return top_k(found, ["query_id"], [F.desc("score"), F.col("item")], k).select("query_id", "rank", "item", "score")
+        """The lists are split, so that there are enough tasks for the shuffle."""
+        lists = len(self.centroids)
+        splits = max(1, -(-int(self.vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // lists))
+        cell = lambda part: (F.col("list") * splits + part).cast("int").alias("s")
+        entries = self._lists(self.vectors, "item", 1).select("item", "v", cell(F.pmod(F.xxhash64("item"), F.lit(splits))))
+        asked = self._lists(queries, "query_id", probes).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+        return _nearest(entries, asked.select("query_id", "v", cell(F.col("part"))), queries.count(), k, digits)
