@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import lexical, ranking, vectors
@@ -19,16 +21,22 @@ w AS (SELECT doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf
 scored AS (SELECT query_id, doc_id, round(sum(s), 6) AS score, count(*) AS overlap FROM w JOIN qt USING (term) GROUP BY ALL)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+def _best() -> list[Column]:
+    """Best first, then by id; rows without an id come last, as in SQL."""
+    return [F.desc("score"), F.asc_nulls_last("item")]
+
+
+def _lists(spark: SparkSession, sf_dir: str, k: int, names: Sequence[str]) -> DataFrame:
+    """The first ``k`` documents of each query by each list: ``(query_id, item, channel,
+    score, rank)``."""
+    terms = lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text").distinct()
+    found = lexical.bm25_lists(table(spark, sf_dir, "documents"), terms, "doc_id", "text", k, names)
+    return ranking.top_k(found, ["query_id", "channel"], _best(), k)
 
 
 def _channels(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
     """The keyword and the overlap channel, ``k`` rows of a query each."""
-    scored = _scored(spark, sf_dir)
-    a = ranking.top_k(scored, ["query_id"], [F.desc("score"), F.col("item")], k).select("query_id", "item", "rank", "score", F.lit("bm25").alias("channel"))
-    b = ranking.top_k(scored, ["query_id"], [F.desc("overlap"), F.col("item")], k).select("query_id", "item", "rank", F.col("overlap").cast("double").alias("score"), F.lit("overlap").alias("channel"))
-    return a.unionByName(b)
+    return _lists(spark, sf_dir, k, ("bm25", "overlap")).select("query_id", "item", "rank", "score", "channel")
 
 
 _CHANNELS = f"""WITH {_BM25}, bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored),
@@ -41,13 +49,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 def hybrid_search_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two channels fused by reciprocal ranks; ten documents for each query."""
     fused = ranking.fuse_pools(_channels(spark, sf_dir), ["query_id"], "item", ranking.CHANNEL_K)
-    return ranking.top_k(fused, ["query_id"], [F.desc("score"), F.col("item")], 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score")
+    return ranking.top_k(fused, ["query_id"], _best(), 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score")
 
 
 @register("bm25_search", f"""WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10""")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten documents of each query by BM25."""
-    return ranking.top_k(_scored(spark, sf_dir), ["query_id"], [F.desc("score"), F.col("item")], 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score")
+    return _lists(spark, sf_dir, 10, ("bm25",)).select("query_id", "rank", F.col("item").alias("doc_id"), "score")
 
 
 @register("weighted_channel_fusion", f"""{_CHANNELS}, u AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS unit FROM ch WINDOW w AS (PARTITION BY query_id, channel)),
@@ -57,7 +65,7 @@ def weighted_channel_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The channels fused by weighted scores, scaled to 0..1 in each channel."""
     rows = _channels(spark, sf_dir).withColumn("weight", F.when(F.col("channel") == "bm25", 0.4).otherwise(0.6))
     fused = ranking.fuse_weighted(rows, ["query_id"], "item")
-    return ranking.top_k(fused, ["query_id"], [F.desc("score"), F.col("item")], 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score")
+    return ranking.top_k(fused, ["query_id"], _best(), 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score")
 
 
 @register("outer_weighted_rrf", f"""{_CHANNELS}, f AS (SELECT query_id, doc_id, round(sum(CASE channel WHEN 'bm25' THEN 1.5::DOUBLE ELSE 0.6::DOUBLE END / (60 + rank)), 9) AS score, count(*) AS n_pools FROM ch GROUP BY ALL),
@@ -67,7 +75,7 @@ def outer_weighted_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark_weights = spark.createDataFrame([("bm25", 1.5), ("overlap", 0.6)], "channel string, weight double")
     rows = _channels(spark, sf_dir).join(F.broadcast(spark_weights), "channel")
     fused = ranking.fuse_pools(rows, ["query_id"], "item", ranking.POOL_K, "weight")
-    return ranking.top_k(fused, ["query_id"], [F.desc("score"), F.col("item")], 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score", "n_pools")
+    return ranking.top_k(fused, ["query_id"], _best(), 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score", "n_pools")
 
 
 @register("comparison_fanout", """WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM benchmark), q AS (SELECT item_id AS query_id, 1 AS sub, unnest(t[1:3]) AS term FROM b UNION SELECT item_id, 2, unnest(t[4:6]) FROM b),
@@ -81,11 +89,10 @@ def comparison_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", lexical.tokens(F.col("text")).alias("t"))
     part = lambda k, lo: b.select(F.col("item_id").alias("query_id"), F.lit(k).alias("sub"), F.explode(F.slice("t", lo, 3)).alias("term"))
     q = part(1, 1).unionByName(part(2, 4)).distinct()
-    d = table(spark, sf_dir, "documents")
-    s = lexical.met(lexical.matches(d, q, "doc_id", "text"), q).groupBy("query_id", "sub", "item").agg(F.count("*").alias("hit"), F.sum("tf").alias("n"))
-    p = ranking.top_k(s, ["query_id", "sub"], [F.desc("hit"), F.desc("n"), F.col("item")], 50).withColumn("w", F.lit(0.5))
+    found = lexical.bm25_lists(table(spark, sf_dir, "documents"), q, "doc_id", "text", 50, ("hits",), ("query_id", "sub"))
+    p = ranking.top_k(found, ["query_id", "sub"], _best(), 50).withColumn("w", F.lit(0.5))
     fused = ranking.fuse_pools(p, ["query_id"], "item", ranking.POOL_K, "w")
-    return ranking.top_k(fused, ["query_id"], [F.desc("score"), F.col("item")], 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score", "n_pools")
+    return ranking.top_k(fused, ["query_id"], _best(), 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score", "n_pools")
 
 
 @register("dense_knn", """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS item, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0),
@@ -124,7 +131,7 @@ def learned_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = F.map_from_entries(F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda e: e["x"] > 0.15))
     s = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), weights.alias("weights"))
     found = lexical.sparse_search(s, s.where("item % 50 = 0").withColumnRenamed("item", "query_id"))
-    return ranking.top_k(found, ["query_id"], [F.desc("score"), F.col("item")], 10).select("query_id", "rank", F.col("item").alias("vec_id"), "score")
+    return ranking.top_k(found, ["query_id"], _best(), 10).select("query_id", "rank", F.col("item").alias("vec_id"), "score")
 
 
 @register("rerank", f"""{_CHANNELS}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (100 + rank)), 9) AS score FROM ch GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f),
@@ -135,7 +142,7 @@ def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused fifty of each query reranked by the model (the share of its words that
     a document holds); the first two keep their places (reserved slots)."""
     fused = ranking.fuse_pools(_channels(spark, sf_dir), ["query_id"], "item", ranking.CHANNEL_K)
-    top = ranking.top_k(fused, ["query_id"], [F.desc("score"), F.col("item")], 50).withColumn("pool", F.lit("comparisonBridge"))
+    top = ranking.top_k(fused, ["query_id"], _best(), 50).withColumn("pool", F.lit("comparisonBridge"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("d"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     rows = ranking.reserved(top, ["query_id"], 2, 10).join(d, "item").join(q, "query_id")

@@ -24,3 +24,41 @@ def test_inverted_file_scores_in_blocks(spark, monkeypatch):
     got = index.search(q, 4, probes=5)
     assert "Join" not in plan(got)
     assert {tuple(r) for r in got.collect()} == want
+
+
+def plain(rows):
+    return sorted(tuple(repr(round(x, 6) + 0.0) if isinstance(x, float) else str(x) for x in r) for r in rows)
+
+
+def by_sql(spark, sf, names, query):
+    con = duckdb.connect()
+    for t in names:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+    got = load()[0][query](spark, f"file://{sf}")
+    want = con.sql(load()[1][query])
+    return plain(got.select(*want.columns).collect()), plain(want.fetchall()), got
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Documents that share an id, have none or no text, and many copies of one."""
+    folder = tmp_path_factory.mktemp("odd")
+    d = table(spark, SF, "documents")
+    same = d.where("doc_id % 9 = 0").withColumn("text", F.concat("text", F.lit(" "), F.reverse("text")))
+    lost = d.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    empty = d.limit(3).withColumn("doc_id", F.col("doc_id") + 10**6).withColumn("text", F.lit(None).cast("string"))
+    copies = d.where("doc_id = 7").withColumn("doc_id", F.explode(F.sequence(F.lit(10**7), F.lit(10**7 + 700))))
+    d.unionByName(same).unionByName(lost).unionByName(empty).unionByName(copies).write.parquet(f"file://{folder}/documents.parquet")
+    for name in ("benchmark", "embeddings"):
+        table(spark, SF, name).write.parquet(f"file://{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("query", ["bm25_search", "hybrid_search_rrf", "weighted_channel_fusion", "outer_weighted_rrf", "comparison_fanout"])
+def test_keyword_lists_keep_no_pairs(spark, query, odd, monkeypatch):
+    monkeypatch.setattr(blocks, "ITEMS", 7)
+    monkeypatch.setattr(blocks, "QUERIES", 5)
+    monkeypatch.setattr(blocks, "CELLS", 500)
+    got, want, _ = by_sql(spark, odd, ["documents", "benchmark"], query)
+    assert got == want
+    assert "Explode" not in plan(load()[0][query](spark, SF)) and "explode" not in plan(load()[0][query](spark, SF))
