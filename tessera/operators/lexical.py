@@ -232,3 +232,34 @@ def sparse_search(vectors: DataFrame, queries: DataFrame, digits: int = 6) -> Da
     v = vectors.select("item", F.explode("weights").alias("i", "x"))
     q = queries.select("query_id", F.explode("weights").alias("i", "y"))
     return v.join(q, "i").groupBy("query_id", "item").agg(F.round(F.sum(F.col("x") * F.col("y")), digits).alias("score"))
+
+
+def sparse_first(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """``(query_id, item, score)`` of ``sparse_search``: the first ``k`` items of each query by
+    score, then by item, and maybe some that come after them. A task scores its vectors
+    in blocks and keeps ``k`` rows of a query. Ids with several vectors, which count as
+    one item, and queries too large for the driver meet in joins."""
+    spark = vectors.sparkSession
+    asked = queries.select("query_id", F.explode("weights").alias("term", "weight"))
+    numbered = _Numbered.of(asked, ["query_id"], "term", "weight")
+    alone, others = (None, vectors) if numbered is None else _split(vectors, "item")
+    parts = [] if others is None else [sparse_search(others, queries, digits)]
+    if alone is not None:
+        names = np.array(list(numbered.terms), np.int64)
+        order = np.argsort(names)
+
+        def postings(batch: pa.RecordBatch) -> tuple:
+            i, x = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("i", "x"))
+            at = np.repeat(np.arange(batch.num_rows), batch.column("i").value_lengths().to_numpy(zero_copy_only=False))
+            place = np.minimum(np.searchsorted(names, i, sorter=order), max(0, len(names) - 1))
+            term = order[place] if len(names) else np.zeros(len(i), np.int64)
+            known = names[term] == i if len(names) else np.zeros(len(i), bool)
+            return _items(batch.column("item")), at[known], term[known], {"shared": np.ones(int(known.sum())), "sparse": x[known]}
+
+        # The work is that of pairs, so there are as many tasks as the shuffle has, however small the vectors are.
+        rows = alone.where("weights IS NOT NULL").select("item", F.map_keys("weights").cast("array<long>").alias("i"), F.map_values("weights").cast("array<double>").alias("x"))
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item")
+        kinds = dict(rows.dtypes) | dict(asked.dtypes)
+        run = _first(numbered, ("sparse",), k, digits, postings, rows.select("item").limit(0).toArrow().schema.field(0).type)
+        parts.insert(0, rows.mapInArrow(run, f"query_id {kinds['query_id']}, item {kinds['item']}, channel string, score double").drop("channel"))
+    return reduce(DataFrame.unionByName, parts)

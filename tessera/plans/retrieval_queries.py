@@ -130,7 +130,7 @@ def learned_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner products of sparse vectors (the larger components of the dense ones)."""
     weights = F.map_from_entries(F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda e: e["x"] > 0.15))
     s = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), weights.alias("weights"))
-    found = lexical.sparse_search(s, s.where("item % 50 = 0").withColumnRenamed("item", "query_id"))
+    found = lexical.sparse_first(s, s.where("item % 50 = 0").withColumnRenamed("item", "query_id"), 10)
     return ranking.top_k(found, ["query_id"], _best(), 10).select("query_id", "rank", F.col("item").alias("vec_id"), "score")
 
 
