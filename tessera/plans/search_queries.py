@@ -40,10 +40,10 @@ def hybrid_three_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = d.join(asked.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.array_join(F.slice(lexical.tokens(F.col("text")), 1, 8), " ").alias("q"))
     weights = F.map_from_entries(F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda p: p["x"] > 0.15))
     sparse = e.select("item", weights.alias("weights"))
-    order = [F.desc("score"), F.col("item")]
+    order = [F.desc("score"), F.asc_nulls_last("item")]
     pools = vectors.exact_knn(e, asked, 50).select("query_id", "item", "rank")
-    pools = pools.unionByName(ranking.top_k(lexical.sparse_search(sparse, sparse.where("item % 50 = 0").withColumnRenamed("item", "query_id")), ["query_id"], order, 30).select("query_id", "item", "rank"))
-    pools = pools.unionByName(ranking.top_k(lexical.bm25(d, words, "doc_id", "text", "doc_id", "q"), ["query_id"], order, 40).select("query_id", "item", "rank"))
+    pools = pools.unionByName(ranking.top_k(lexical.sparse_first(sparse, sparse.where("item % 50 = 0").withColumnRenamed("item", "query_id"), 30), ["query_id"], order, 30).select("query_id", "item", "rank"))
+    pools = pools.unionByName(ranking.top_k(lexical.bm25_lists(d, lexical.query_terms(words, "doc_id", "q").distinct(), "doc_id", "text", 40), ["query_id"], order, 40).select("query_id", "item", "rank"))
     fused = ranking.fuse_pools(pools, ["query_id"], "item", ranking.CHANNEL_K).withColumnRenamed("n_pools", "n_channels")
     return ranking.top_k(fused, ["query_id"], order, 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score", "n_channels")
 
