@@ -106,8 +106,9 @@ def comparison_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = qt.comparison_sides(F.col("query"))
     subs = q.select("query_id", F.explode(F.when(sides.isNotNull(), F.array(_searched(sides["left"], 1), _searched(sides["right"], 2))).otherwise(F.array(_searched(F.col("query"), 0)))).alias("s"))
     subs = subs.select((F.col("query_id") * 10 + F.col("s.sub")).alias("query_id"), F.col("s.text").alias("q"))
-    found = lexical.bm25(table(spark, sf_dir, "documents"), subs, "doc_id", "text", "query_id", "q")
-    p = ranking.top_k(found, ["query_id"], [F.desc("score"), F.col("item")], 50)
+    terms = lexical.query_terms(subs, "query_id", "q").distinct()
+    found = lexical.bm25_lists(table(spark, sf_dir, "documents"), terms, "doc_id", "text", 50)
+    p = ranking.top_k(found, ["query_id"], [F.desc("score"), F.asc_nulls_last("item")], 50)
     p = p.select(F.floor(F.col("query_id") / 10).alias("query_id"), "item", "rank", F.when(F.col("query_id") % 10 == 0, 1.0).otherwise(0.5).alias("weight"))
     fused = ranking.fuse_pools(p, ["query_id"], "item", ranking.POOL_K, "weight")
-    return ranking.top_k(fused, ["query_id"], [F.desc("score"), F.col("item")], 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score", "n_pools")
+    return ranking.top_k(fused, ["query_id"], [F.desc("score"), F.asc_nulls_last("item")], 10).select("query_id", "rank", F.col("item").alias("doc_id"), "score", "n_pools")
