@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.operators.ranking import best, top_k
+from tessera.operators.ranking import best, ranked, top_k
 
+#: Rows that a vectorised step works on at once, and listed neighbours of a task.
+BLOCK, LISTED = 1 << 17, 2_000_000
 EDGE_TYPES = ("heading", "code_example", "co_mention", "sequence", "link")
 
 
@@ -93,16 +95,34 @@ def symbol_expansion(seeds: DataFrame, symbols: DataFrame, mentions: DataFrame,
     relations are ``array<struct<kind:int,symbol:string>>`` in order (parent, imports,
     base classes for code; mentions for prose). Code also leads to the prose that
     mentions its symbol. Candidates keep the place where they were first seen."""
-    code = F.col("content_type") == "code"
     own = seeds.where(F.col("content_type") != "docstring")
     named = own.select("query_id", "rank", F.posexplode("relations").alias("pos", "r")).select("query_id", "rank", F.col("r.kind").alias("kind"), "pos", F.col("r.symbol").alias("symbol"))
     direct = named.join(symbols.select("symbol", "chunk_id"), "symbol").select("query_id", "chunk_id", "rank", "kind", "pos")
-    back = own.where(code).select("query_id", "rank", "symbol").join(mentions.select("symbol", "chunk_id"), "symbol").select("query_id", "chunk_id", "rank", F.lit(99).alias("kind"), F.lit(0).alias("pos"))
+    back = _mentioned(seeds, mentions, cap).select("query_id", "chunk_id", "rank", F.lit(99).alias("kind"), F.lit(0).alias("pos"))
     first = direct.unionByName(back).groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "kind", "pos")).alias("at"))
     rest = first.join(seeds.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return top_k(rest, ["query_id"], [F.col("at"), F.col("chunk_id")], cap).select("query_id", "rank", "chunk_id")
 
 
+def _mentioned(seeds: DataFrame, mentions: DataFrame, cap: int) -> DataFrame:
+    """``(query_id, rank, chunk_id)``: the mentions that code seeds lead to, without those
+    that can't be among the first ``cap`` of a query.
+
+    A symbol's mentions come in the order of their ids at its first seed, and before one
+    of them stand all earlier ones that are no seeds. So a query with ``n`` seeds needs the first
+    ``cap + n`` of a symbol, and no seed after one whose symbol has so many."""
+    ordered = ranked(mentions.select("symbol", "chunk_id").distinct(), ["symbol"], [F.col("chunk_id")], "place")
+    known = mentions.groupBy("symbol").agg(F.count_distinct("chunk_id").alias("held"))
+    code = seeds.withColumn("need", F.count("*").over(Window.partitionBy("query_id")) + cap).where(F.col("content_type") == "code")
+    code = code.groupBy("query_id", "symbol").agg(F.min("rank").alias("rank"), F.first("need").alias("need")).join(known, "symbol")
+    full = F.min(F.when(F.col("held") >= F.col("need"), F.col("rank"))).over(Window.partitionBy("query_id"))
+    code = code.withColumn("full", full).where("full IS NULL OR rank <= full")
+    # Places are dealt in runs, so that a seed meets the runs that it needs and no others.
+    run = F.floor((F.col("place") - 1) / cap)
+    wanted = code.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.least("need", "held") - 1) / cap))))
+    return wanted.join(ordered.withColumn("run", run), ["symbol", "run"]).where("place <= need").select("query_id", "rank", "chunk_id")
+
+
 def refs_pool(declarations: DataFrame, references: DataFrame, chunks: DataFrame, most: dict[str, int] | None = None, total: int = 30) -> DataFrame:
     """Chunks around the uses of a symbol: its declaration, then references, then
     implementations, scored ``1 / (60 + rank)``.
