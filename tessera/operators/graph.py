@@ -142,41 +142,159 @@ def refs_pool(declarations: DataFrame, references: DataFrame, chunks: DataFrame,
     return out.select("query_id", "rank", "chunk_id", F.round(1.0 / (60 + F.col("rank")), 9).alias("score"))
 
 
-def bridge_pool(candidates: DataFrame, per_bucket: int = 3, cap: int = 50) -> DataFrame:
+def _ordered(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of the values, nulls first."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False)
+    code = column.dictionary_encode(null_encoding="encode")
+    names = code.dictionary.to_pylist()
+    place = np.empty(len(names), np.int64)
+    place[sorted(range(len(names)), key=lambda k: (names[k] is not None, names[k]))] = np.arange(len(names))
+    return place[code.indices.to_numpy()]
+
+
+def _greedy(query: np.ndarray, seed: np.ndarray, axis: np.ndarray, bucket: np.ndarray, pos: np.ndarray, chunk: np.ndarray, is_seed: np.ndarray, per_bucket: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of whole queries that are added, and their ranks. The n-th rows of all queries
+    are decided at once."""
+    columns, rising = (query, seed, axis, bucket, pos, chunk), np.zeros(max(0, len(query) - 1), bool)
+    for c in columns[::-1]:
+        rising = (c[1:] > c[:-1]) | ((c[1:] == c[:-1]) & rising)
+    order = np.arange(len(query)) if rising.all() else np.lexsort(columns[::-1])
+    query, seed, axis, bucket, chunk = (c[order] for c in (query, seed, axis, bucket, chunk))
+    own = np.concatenate([[0], np.cumsum(query[1:] != query[:-1])])
+    lo, span = int(chunk.min()), int(chunk.max()) - int(chunk.min()) + 1
+    both = own * span + (chunk - lo) if span < (1 << 62) // (int(own[-1]) + 1) else own * len(chunk) + np.unique(chunk, return_inverse=True)[1]
+    by = np.argsort(both, kind="stable")
+    same = both[by][1:] == both[by][:-1]
+    before = np.full(len(own), len(own))
+    before[by[1:][same]] = by[:-1][same]
+    # Whether the row's chunk is a seed or was added at this row or before.
+    state = np.zeros(len(own) + 1, bool)
+    group = np.concatenate([[0], np.cumsum(~same)])
+    state[by] = np.bincount(group, is_seed[order][by])[group] > 0
+    stays = np.concatenate([[False], (own[1:] == own[:-1]) & (seed[1:] == seed[:-1]) & (axis[1:] == axis[:-1]) & (bucket[1:] == bucket[:-1])])
+    start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    count = np.diff(np.concatenate([start, [len(own)]]))
+    long = np.argsort(-count, kind="stable")
+    start, count = start[long], count[long]
+    used, n, rank = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), np.zeros(len(own), np.int64)
+    for k in range(int(count[0])):
+        a = int(np.searchsorted(-count, -k))
+        r = start[:a] + k
+        left = used[:a]
+        left *= stays[r]
+        seen = state[r] | state[before[r]]
+        add = ~seen & (left < per_bucket) & (n[:a] < cap)
+        left += add
+        n[:a] += add
+        rank[r] = n[:a] * add
+        state[r] = seen | add
+    found = np.flatnonzero(rank)
+    return order[found], rank[found]
+
+
+def bridge_pool(candidates: DataFrame, per_bucket: int = 3, cap: int = 50, dealt: bool = False) -> DataFrame:
     """Partners of the seeds of a comparison, with a budget for each bucket.
 
     ``candidates`` is ``(query_id, seed_rank, axis, bucket, pos, chunk_id, is_seed)``.
     In order of seed, axis and place each partner is added unless it is a seed, was
     added before or its bucket is used up. Only successful additions use a budget, so
-    the rows of a query are worked off one after the other; a query has the symbols
-    of its few seeds, whatever the corpus."""
+    the rows of a query are worked off one after the other, those of many queries side by
+    side; a query has the symbols of its few seeds, whatever the corpus. ``dealt``: the rows
+    of a query are already in one partition, one after the other. A row may hold a whole
+    bucket: ``chunk_id`` and ``is_seed`` are then arrays in order, and there is no ``pos``."""
+    kind = dict(candidates.dtypes)
+    whole = kind["chunk_id"].startswith("array<")
+    names = ["query_id", "seed_rank", "axis", "bucket", *([] if whole else ["pos"]), "chunk_id", "is_seed"]
+
+    def result(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        chunk, flag = rows["chunk_id"].combine_chunks(), rows["is_seed"].combine_chunks()
+        keys = [_ordered(rows[c]) for c in ("query_id", "seed_rank", "axis", "bucket")]
+        at = np.arange(rows.num_rows)
+        if whole:
+            times = chunk.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.repeat(at, times)
+            pos = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            keys, chunk, flag = [c[at] for c in keys], chunk.flatten(), flag.flatten()
+        else:
+            pos = _ordered(rows["pos"])
+        if len(at):
+            found, rank = _greedy(*keys, pos, _ordered(chunk), flag.to_numpy(zero_copy_only=False), per_bucket, cap)
+            own = rows.select(["query_id", "axis"]).take(pa.array(at[found]))
+            yield from pa.table([own["query_id"], pa.array(rank), chunk.take(pa.array(found)), own["axis"]], ["query_id", "rank", "chunk_id", "axis"]).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, used, seen, n = None, {}, set(), 0
+        held, n, most = [], 0, max(1, BLOCK >> 3) if whole else BLOCK
         for batch in batches:
-            out = []
-            for q, first, seed, axis, bucket, chunk in zip(*(batch.column(c).to_pylist() for c in ("query_id", "order", "seed_rank", "axis", "bucket", "chunk_id")), strict=True):
-                if q != query or query is None:
-                    query, used, seen, n = q, {}, set(), 0
-                if first == 0:
-                    seen.add(chunk)
-                    continue
-                key = (seed, axis, bucket)
-                if n >= cap or chunk in seen or used.get(key, 0) >= per_bucket:
-                    continue
-                seen.add(chunk)
-                used[key] = used.get(key, 0) + 1
-                n += 1
-                out.append((q, n, chunk, axis))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "rank", "chunk_id", "axis"])
-
-    # A query's seeds come first, so that the rest is one pass in order.
-    rows = candidates.withColumn("order", F.when(F.col("is_seed"), 0).otherwise(1)).repartition("query_id")
-    rows = rows.sortWithinPartitions("query_id", "order", "seed_rank", "axis", "bucket", "pos", "chunk_id")
-    kind = dict(candidates.dtypes)
-    kinds = [to_arrow_type(candidates.schema["query_id"].dataType), pa.int64(), to_arrow_type(candidates.schema["chunk_id"].dataType), to_arrow_type(candidates.schema["axis"].dataType)]
-    return rows.select("query_id", "order", "seed_rank", "axis", "bucket", "pos", "chunk_id").mapInArrow(run, f"query_id {kind['query_id']}, rank long, chunk_id {kind['chunk_id']}, axis {kind['axis']}")
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n < most:
+                continue
+            rows = pa.concat_tables(held).combine_chunks()
+            query = rows["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+            cut = np.flatnonzero(np.diff(query.indices.to_numpy()))
+            if len(cut):
+                yield from result(rows.slice(0, int(cut[-1]) + 1))
+                rows = rows.slice(int(cut[-1]) + 1)
+            held, n = [rows], rows.num_rows
+        if n:
+            yield from result(pa.concat_tables(held).combine_chunks())
+
+    rows = candidates.select(*names)
+    rows = rows if dealt else rows.repartition("query_id").sortWithinPartitions("query_id")
+    one = kind["chunk_id"][len("array<") : -1] if whole else kind["chunk_id"]
+    return rows.mapInArrow(run, f"query_id {kind['query_id']}, rank long, chunk_id {one}, axis {kind['axis']}")
+
+
+def two_hops(edges: DataFrame) -> DataFrame:
+    """``(seed, n_first, n_second, nodes)`` of ``(src, dst)``, both long: other nodes that a
+    seed reaches by one edge, by two and no fewer, and the sum of all. What is sent to a
+    seed are lists of the nodes behind its own, not pairs; there are as many tasks as
+    listed nodes ask for, so none holds more of them on a larger graph."""
+    lists = edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src").agg(F.collect_set("dst").alias("out"))
+    first = lists.select("src", F.explode("out").alias("node"))
+    second = first.join(lists.select(F.col("src").alias("node"), "out"), "node").select(F.col("src").alias("seed"), "out", F.lit(2).alias("hop"))
+    sizes = lists.select(F.col("src").alias("node"), F.size("out").cast("long").alias("size"))
+    held = first.join(sizes, "node").agg(F.sum("size")).first()[0] or 0
+    n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // LISTED))
+    rows = lists.select(F.col("src").alias("seed"), "out", F.lit(1).alias("hop")).unionByName(second).repartition(n, F.xxhash64("seed"))
+
+    def distinct(seed: np.ndarray, node: np.ndarray, hop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.unique(seed, return_inverse=True)[1] if len(seed) else seed
+        lo, span = (int(node.min()), int(node.max()) - int(node.min()) + 1) if len(node) else (0, 1)
+        code = node - lo
+        if span >= (1 << 61) // max(1, len(seed)):
+            code, span = np.unique(node, return_inverse=True)[1], len(node)
+        key = (own * span + code) * 2 + hop - 1
+        order = np.argsort(key)
+        key = key[order] >> 1
+        at = order[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else order
+        return seed[at], node[at], hop[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, BLOCK << 4
+        for batch in batches:
+            out = batch.column("out")
+            times = out.value_lengths().to_numpy(zero_copy_only=False)
+            seed, node, hop = np.repeat(batch.column("seed").to_numpy(), times), out.flatten().to_numpy(), np.repeat(batch.column("hop").to_numpy(), times)
+            other = seed != node
+            held.append((seed[other], node[other], hop[other]))
+            size += len(seed)
+            if size > most:
+                held = [distinct(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                most = max(BLOCK << 4, 2 * size)
+        if held and size:
+            seed, node, hop = distinct(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            if len(seed):
+                at = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+                one, total = np.add.reduceat((hop == 1).astype(np.int64), at), np.diff(np.concatenate([at, [len(seed)]]))
+                yield pa.RecordBatch.from_pydict({"seed": pa.array(seed[at]), "n_first": pa.array(one), "n_second": pa.array(total - one), "nodes": pa.array(np.add.reduceat(node, at))})
+
+    return rows.mapInArrow(run, "seed long, n_first long, n_second long, nodes long")
 
 
 def normalised_path(base: str, target: str) -> str | None:

@@ -122,15 +122,26 @@ def symbol_refs_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comparison_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partners of each order's parts along three axes with a budget a bucket; the
     tests hold it against a plain loop."""
-    return graph.bridge_pool(bridge_candidates(spark, sf_dir))
+    return graph.bridge_pool(bridge_buckets(spark, sf_dir), dealt=True)
 
 
-def bridge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bridge_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each bucket. Line items are dealt by their order and become candidates
+    where they are."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("seed_rank"), F.col("l_partkey").alias("seed"), F.col("l_suppkey").alias("s"))
-    seeds = li.select("query_id", F.col("seed").alias("chunk_id")).distinct().withColumn("is_seed", F.lit(True))
-    partners = F.array(*(F.struct(F.lit(k).alias("axis"), F.concat(F.lit(f"{name}:"), (F.col("s") % 5).cast("string")).alias("bucket"), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda x, m=m: (F.col("seed") + x * m) % 200).alias("ids")) for k, (name, m) in enumerate((("super", 1), ("alias", 7), ("package", 11)))))
-    c = li.select("query_id", "seed_rank", F.explode(partners).alias("p")).select("query_id", "seed_rank", "p.axis", "p.bucket", F.posexplode("p.ids").alias("pos", "chunk_id"))
-    return c.join(seeds, ["query_id", "chunk_id"], "left").select("query_id", "seed_rank", "axis", "bucket", "pos", "chunk_id", F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
+    whole = Window.partitionBy("query_id").orderBy("seed_rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    li = li.withColumn("seeds", F.when(F.col("query_id").isNotNull(), F.collect_set("seed").over(whole)))
+    ids = F.array(*((F.col("seed") + x * x) % 200 for x in range(6)))
+    partners = F.array(*(F.struct(F.lit(k).alias("axis"), F.concat(F.lit(f"{name}:"), (F.col("s") % 5).cast("string")).alias("bucket"), ids.alias("ids")) for k, name in enumerate(("super", "alias", "package"))))
+    p = li.select("query_id", "seed_rank", "seeds", F.explode(partners).alias("p")).select("query_id", "seed_rank", "seeds", "p.axis", "p.bucket", F.col("p.ids").alias("chunk_id"))
+    flags = F.array(*(F.coalesce(F.array_contains("seeds", F.get("chunk_id", F.lit(k))), F.lit(False)) for k in range(6)))
+    return p.select("query_id", "seed_rank", "axis", "bucket", "chunk_id", flags.alias("is_seed"))
+
+
+def bridge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each candidate."""
+    each = bridge_buckets(spark, sf_dir).select("query_id", "seed_rank", "axis", "bucket", F.posexplode(F.arrays_zip("chunk_id", "is_seed")).alias("pos", "c"))
+    return each.select("query_id", "seed_rank", "axis", "bucket", "pos", "c.chunk_id", "c.is_seed")
 
 
 @register("page_links")
