@@ -160,8 +160,4 @@ def two_hop_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of references, each node at its first hop, counted for each part; a part
     refers to the one after it in an order."""
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), after.alias("b")).where("b IS NOT NULL").distinct()
-    h1 = e.select(F.col("a").alias("seed"), F.col("b").alias("node"), F.lit(1).alias("hop"))
-    h2 = h1.join(e, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node"), F.lit(2).alias("hop"))
-    reached = h1.unionByName(h2).where("node <> seed").groupBy("seed", "node").agg(F.min("hop").alias("hop"))
-    return reached.groupBy("seed").agg(F.count_if(F.col("hop") == 1).alias("n_first"), F.count_if(F.col("hop") == 2).alias("n_second"), F.sum("node").alias("nodes"))
+    return graph.two_hops(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst")))
