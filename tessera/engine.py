@@ -31,6 +31,7 @@ class Options:
     limit: int = 10
     channel_limit: int = 50
     hybrid: bool = True
+    most_chunks: int | None = MOST_CHUNKS  # None: an index holds all chunks
 
 
 def normalised(splitter: str | None, extensions: list[str] | None, ignore: list[str] | None) -> Options:
@@ -116,12 +117,13 @@ class Engine:
         self.store(name).insert(self._chunks(files, splitter))
         rows = self.store(name).read()
         n = rows.count()
-        if n > MOST_CHUNKS:
-            kept = rows.orderBy("path", "ord").limit(MOST_CHUNKS)
+        most = n if self.options.most_chunks is None else self.options.most_chunks
+        if n > most:
+            kept = rows.orderBy("path", "ord").limit(most)
             self.store(name).delete(rows.join(kept.select("chunk_id"), "chunk_id", "left_anti"))
         self._embed(name, self.store(name).read(), "0")
-        status = "limit_reached" if n > MOST_CHUNKS else "indexed"
-        self._note(name, status, files.count(), min(n, MOST_CHUNKS))
+        status = "limit_reached" if n > most else "indexed"
+        self._note(name, status, files.count(), min(n, most))
         return status
 
     def reindex(self, name: str, files: DataFrame, splitter: str | Callable | None = None) -> dict[str, int]:
@@ -156,7 +158,7 @@ class Engine:
         rows = self.store(name).read().where(compiled(filter_text))
         order = [F.desc("score"), F.col("item")]
         own = rows.select("chunk_id", "content")
-        found = lexical.bm25(own, queries, "chunk_id", "content", "query_id", "query")
+        found = lexical.bm25_lists(own, lexical.query_terms(queries, "query_id", "query").distinct(), "chunk_id", "content", self.options.channel_limit)
         pools = ranking.top_k(found, ["query_id"], order, self.options.channel_limit).select("query_id", "item", "rank")
         if self.options.hybrid:
             number = rows.select("chunk_id", F.xxhash64("chunk_id").alias("item"))
