@@ -6,17 +6,19 @@ the edges of a hot node are combined on the map side.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import best, ranked, top_k
 
 #: Rows that a vectorised step works on at once, and listed neighbours of a task.
 BLOCK, LISTED = 1 << 17, 2_000_000
+#: Chunks whose edges meet in a task.
+CHUNKS = 50_000
 EDGE_TYPES = ("heading", "code_example", "co_mention", "sequence", "link")
 
 
@@ -25,21 +27,66 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight"))
 
 
+def tasks_for(rows: DataFrame, most: int = CHUNKS) -> int:
+    """As many tasks as the shuffle has, and more where one would get over ``most`` rows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // most))
+
+
+def _dealt(df: DataFrame, tasks: int | None, *by: str) -> DataFrame:
+    return df if tasks is None else df.repartition(tasks, *by)
+
+
 def heading_edges(chunks: DataFrame) -> DataFrame:
     """From each section to the sections one level below it in the same file.
     ``chunks`` has ``path, chunk_id, heading_path``."""
+    up, down = _levels(chunks)
+    return up.join(down, ["path", "above"]).select("src", "dst", F.lit("heading").alias("type"), F.lit(1.0).alias("weight"))
+
+
+def _levels(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections by their own heading, and by the heading above theirs."""
     up = chunks.select("path", F.col("chunk_id").alias("src"), F.col("heading_path").alias("above")).where(F.size("above") > 0)
     down = chunks.where(F.size("heading_path") > 1).select("path", F.col("chunk_id").alias("dst"), F.expr("slice(heading_path, 1, size(heading_path) - 1)").alias("above"))
-    return up.join(down, ["path", "above"]).select("src", "dst", F.lit("heading").alias("type"), F.lit(1.0).alias("weight"))
+    return up, down
+
+
+def heading_neighbours(chunks: DataFrame, limit: int, weight: Callable[[Column], Column] | None = None, tasks: int | None = None) -> DataFrame:
+    """The heading edges, both ways, that can be among the ``limit`` strongest of their
+    source: all sections of a heading have the same partners, so these are cut to the
+    strongest before they meet (one more, as a section is no partner of its own).
+    ``weight`` of an edge is a function of its ``dst``."""
+    w = weight or (lambda _: F.lit(1.0))
+    up, down = (_dealt(x, tasks, "path", "above") for x in _levels(chunks))
+
+    def strongest(df: DataFrame, name: str) -> DataFrame:
+        place = F.dense_rank().over(Window.partitionBy("path", "above").orderBy(F.desc(w(F.col(name))), F.col(name)))
+        return df.withColumn("place", place).where(F.col("place") <= limit + 1).drop("place")
+
+    ahead = up.join(strongest(down, "dst"), ["path", "above"]).select("src", "dst")
+    back = down.join(strongest(up, "src"), ["path", "above"]).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return ahead.unionByName(back).select("src", "dst", F.lit("heading").alias("type"), w(F.col("dst")).alias("weight"))
+
+
+def heading_statistics(chunks: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``statistics`` of the heading edges, which are counted by heading and not made."""
+    up, down = _levels(chunks)
+    n_up, n_down = (df.groupBy("path", "above").agg(F.count("*").alias(n)) for df, n in ((up, "u"), (down, "d")))
+    both = n_up.join(n_down, ["path", "above"])
+    some = both.select("path", "above")
+    nodes = up.join(some, ["path", "above"], "left_semi").select("src").unionByName(down.join(some, ["path", "above"], "left_semi").select(F.col("dst").alias("src")))
+    nodes = _dealt(nodes, tasks, "src").distinct().agg(F.count("src").alias("n_nodes"))
+    edges = both.agg(F.sum(F.col("u") * F.col("d")).alias("n_edges")).where("n_edges > 0")
+    return edges.crossJoin(nodes).select(F.lit("heading").alias("type"), "n_edges", "n_nodes")
 
 
-def example_edges(chunks: DataFrame, tolerance: int = 1) -> DataFrame:
+def example_edges(chunks: DataFrame, tolerance: int = 1, tasks: int | None = None) -> DataFrame:
     """Between prose and an example under one heading that are at most ``tolerance``
     lines apart."""
     c = chunks.select("path", "heading_path", "chunk_id", "content_type", "start_line", "end_line")
     a = c.where("content_type = 'doc'").select("path", "heading_path", F.col("chunk_id").alias("src"), F.col("start_line").alias("s1"), F.col("end_line").alias("e1"))
     b = c.where("content_type = 'code_example'").select("path", "heading_path", F.col("chunk_id").alias("dst"), F.col("start_line").alias("s2"), F.col("end_line").alias("e2"))
     near = ((F.col("s2") - F.col("e1")).between(0, tolerance)) | ((F.col("s1") - F.col("e2")).between(0, tolerance))
+    a, b = (_dealt(x, tasks, "path", "heading_path") for x in (a, b))
     return a.join(b, ["path", "heading_path"]).where(near).select("src", "dst", F.lit("code_example").alias("type"), F.lit(1.0).alias("weight"))
 
 
@@ -55,21 +102,24 @@ def co_mention_edges(mentions: DataFrame, most: int = 20) -> DataFrame:
     return pairs.select("src", "dst", F.lit("co_mention").alias("type"), "weight")
 
 
-def sequence_edges(chunks: DataFrame) -> DataFrame:
+def sequence_edges(chunks: DataFrame, tasks: int | None = None) -> DataFrame:
     """Between neighbouring chunks of a file."""
+    chunks = _dealt(chunks.select("path", "chunk_id", "start_line"), tasks, "path")
     w = Window.partitionBy("path").orderBy("start_line", "chunk_id")
     return chunks.select(F.col("chunk_id").alias("src"), F.lead("chunk_id").over(w).alias("dst")).where("dst IS NOT NULL").select("src", "dst", F.lit("sequence").alias("type"), F.lit(1.0).alias("weight"))
 
 
-def statistics(edges: DataFrame) -> DataFrame:
-    """Edges of each type; ``edges`` holds both directions."""
-    return edges.groupBy("type").agg((F.count("*") / 2).cast("long").alias("n_edges"), F.count_distinct("src").alias("n_nodes"))
+def statistics(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Edges and nodes of each type; ``edges`` holds both directions."""
+    own = _dealt(edges.select("type", "src"), tasks, "type", "src").groupBy("type", "src").agg(F.count("*").alias("n"))
+    return own.groupBy("type").agg((F.sum("n") / 2).cast("long").alias("n_edges"), F.count("src").alias("n_nodes"))
 
 
-def neighbours(seeds: DataFrame, edges: DataFrame, types: Sequence[str] = EDGE_TYPES, limit: int = 10) -> DataFrame:
+def neighbours(seeds: DataFrame, edges: DataFrame, types: Sequence[str] = EDGE_TYPES, limit: int = 10, tasks: int | None = None) -> DataFrame:
     """The strongest edge to each neighbour of each seed, ``limit`` a seed."""
     limit = max(1, min(50, limit))
-    e = edges.where(F.col("type").isin(*types)).join(seeds.select(F.col("chunk_id").alias("src")).distinct(), "src").where("src <> dst")
+    own = _dealt(seeds.select(F.col("chunk_id").alias("src")), tasks, "src").distinct()
+    e = _dealt(edges.where(F.col("type").isin(*types)).where("src <> dst"), tasks, "src").join(own, "src")
     strongest = best(e, ["src", "dst"], [F.desc("weight"), F.col("type")])
     return top_k(strongest, ["src"], [F.desc("weight"), F.col("dst")], limit).select("src", "rank", "dst", "type", "weight")
 

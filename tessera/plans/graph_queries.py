@@ -26,7 +26,12 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sections(spark, sf_dir)
-    return graph.both_ways(graph.heading_edges(s).unionByName(graph.sequence_edges(s)).unionByName(graph.example_edges(s, 6)))
+    return graph.both_ways(graph.heading_edges(s).unionByName(_near(s)))
+
+
+def _near(s: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The edges between sections that are close to each other."""
+    return graph.sequence_edges(s, tasks).unionByName(graph.example_edges(s, 6, tasks))
 
 
 @register("prose_graph_edges", f"WITH {_SECTIONS}, {_ALL} SELECT type, src, dst, weight FROM edges")
@@ -38,7 +43,9 @@ def prose_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("prose_graph_stats", f"WITH {_SECTIONS}, {_ALL} SELECT type, count(*) // 2 AS n_edges, count(DISTINCT src) AS n_nodes FROM edges GROUP BY type")
 def prose_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges and nodes of each type."""
-    return graph.statistics(_edges(spark, sf_dir))
+    s = _sections(spark, sf_dir)
+    n = graph.tasks_for(s)
+    return graph.statistics(graph.both_ways(_near(s, n)), n).unionByName(graph.heading_statistics(s, n))
 
 
 @register("co_mention_graph", """WITH m AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey AS symbol FROM lineitem), k AS (SELECT symbol FROM m GROUP BY symbol HAVING count(*) BETWEEN 2 AND 25)
@@ -61,15 +68,20 @@ def prose_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM b WHERE rn = 1) SELECT src, rank, dst, type, weight::DOUBLE AS weight FROM r WHERE rank <= 4""")
 def neighbour_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four strongest neighbours of every chunk along two edge types."""
-    e = _edges(spark, sf_dir).withColumn("weight", F.col("weight") + F.length("dst") % 3)
-    return graph.neighbours(_sections(spark, sf_dir), e, ("heading", "sequence"), 4)
+    s = _sections(spark, sf_dir)
+    weight = lambda dst: F.lit(1.0) + F.length(dst) % 3
+    n = graph.tasks_for(s)
+    near = graph.both_ways(graph.sequence_edges(s, n)).withColumn("weight", weight(F.col("dst")))
+    return graph.neighbours(s, graph.heading_neighbours(s, 4, weight, n).unionByName(near), ("heading", "sequence"), 4, n)
 
 
 @register("neighbour_types", f"""WITH {_SECTIONS}, {_ALL}, b AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY weight DESC, type) AS rn FROM edges WHERE src <> dst), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM b WHERE rn = 1)
 SELECT type, count(*) AS n, count(DISTINCT dst) AS n_neighbours FROM r WHERE rank <= 10 GROUP BY type""")
 def neighbour_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected edges by type, and how many neighbours they reach."""
-    return graph.neighbours(_sections(spark, sf_dir), _edges(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("dst").alias("n_neighbours"))
+    s = _sections(spark, sf_dir)
+    n = graph.tasks_for(s)
+    return graph.neighbours(s, graph.heading_neighbours(s, 10, tasks=n).unionByName(graph.both_ways(_near(s, n))), tasks=n).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("dst").alias("n_neighbours"))
 
 
 @register("canonical_symbols", """WITH c AS (SELECT p_partkey AS chunk_id, p_brand AS symbol, p_type || '/' || p_name AS path FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY length(path), path, chunk_id) AS rn FROM c) SELECT symbol, chunk_id, path FROM r WHERE rn = 1""")
