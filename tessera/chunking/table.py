@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.chunking import code, prose, structure
 from tessera.chunking.prose import Chunk
 from tessera.functions.symbols import imports
+from tessera.operators.blocks import small_transfers
 
 SCHEMA = "path string, ord long, chunk_id string, content string, start_line long, end_line long, content_type string, language string, heading_path array<string>, symbol string, kind string, parent string"
 
@@ -28,6 +29,7 @@ def chunked(files: DataFrame, chunker: str | Callable[[str, str], list[Chunk]] =
     """Chunks of ``path, language, content``. A null text is an empty one. The
     chunker is an argument of the call and nothing else is changed by it."""
     cut = CHUNKERS[chunker] if isinstance(chunker, str) else chunker
+    small_transfers(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

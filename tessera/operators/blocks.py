@@ -9,11 +9,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 #: Queries and items of a block.
 QUERIES, ITEMS = 256, 512
 #: Numbers of the largest matrix of a block of items.
 CELLS = 1 << 22
+#: Bytes of rows that Spark sends to a Python worker at once.
+TRANSFER_BYTES = 1 << 22
+
+
+def small_transfers(spark: SparkSession) -> None:
+    """From now on rows of this session go to Python in batches of ``TRANSFER_BYTES``, so
+    that what a worker holds of them doesn't depend on how long texts are. By default a
+    batch is 10,000 rows or 64 MB, which a worker holds several times over. A smaller
+    setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or int(now) > TRANSFER_BYTES:
+        spark.conf.set(name, str(TRANSFER_BYTES))
 
 
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:

@@ -11,14 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.blocks import Kept, Wanted, cut
+from tessera.operators.blocks import Kept, Wanted, cut, small_transfers
 
 #: A token of the analyser, after lower-casing.
 TOKEN = "[a-z0-9_]+"
 #: Rows of terms that are broadcast at most: about 100 MB.
 SMALL_ROWS = 1_000_000
-#: Bytes of rows that Spark sends to a Python worker at once.
-TRANSFER_BYTES = 1 << 22
 
 
 def tokens(text: Column) -> Column:
@@ -172,7 +170,7 @@ def bm25_lists(docs: DataFrame, terms: DataFrame, item: str, text: str, k: int,
     scores its documents in blocks and sends ``k`` rows of a query. Ids with several rows,
     which count as one item, and queries of too many terms for the driver meet in joins."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TRANSFER_BYTES))
+    small_transfers(spark)
     numbered = _Numbered.of(terms, keys, "term")
     alone, others = (None, docs) if numbered is None else _split(docs, item)
     parts, counts = [], []

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.operators.blocks import small_transfers
+
 # Dimensions and input limits (in tokens) of known embedding models;
 # None means that the dimension is asked for.
 MODEL_LIMITS = {
@@ -51,6 +53,7 @@ class Embedder:
     def apply(self, df: DataFrame, key: str, text: str, queries: bool = False) -> DataFrame:
         """``(key, v)``; it is an error if the model gives another number of rows."""
         encode, dim = self.encode_queries if queries else self.encode_passages, self.dim
+        small_transfers(df.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
