@@ -121,11 +121,9 @@ def test_bridge_candidates_are_made_where_their_query_is(spark, monkeypatch):
 
     c = bridge_candidates(spark, SF)
     assert "Join" not in plan(c)
-    ids = {}
-    for r in c.collect():
-        ids.setdefault((r.query_id, r.seed_rank, r.axis), []).append((r.pos, r.chunk_id))
     lines = table(spark, SF, "lineitem").collect()
-    assert all(sorted(ids[x.l_orderkey, x.l_linenumber, k]) == [(n, (x.l_partkey + n * n) % 200) for n in range(6)] for x in lines for k in range(3))
+    made = [(x.l_orderkey, x.l_linenumber, k, n, (x.l_partkey + n * n) % 200) for x in lines for k in range(3) for n in range(6)]
+    assert sorted((r.query_id, r.seed_rank, r.axis, r.pos, r.chunk_id) for r in c.collect()) == sorted(made)
     want = {tuple(r) for r in graph.bridge_pool(c).collect()}
     monkeypatch.setattr(graph, "BLOCK", 50)
     assert {tuple(r) for r in graph.bridge_pool(c, dealt=True).collect()} == want
